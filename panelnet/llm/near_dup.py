@@ -21,25 +21,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelnet.llm.common import WordHashes, as_text, batch_of, mix64, rows_of, stored
+from panelnet.llm.common import as_text, batch_of, rows_of, stored
 from panelnet.llm.components import connected_components
+from panelnet.llm.words import ASCII_SPACE, hash_words, mix64, separators
 
 BANDS, ROWS = 32, 6
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
-_words = WordHashes()
+_SEP = separators(ASCII_SPACE)
 
 
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, no words give none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-    if not words:
-        return np.empty(0, np.uint64)
-    h = _words.of(words)
-    width = min(width, len(h))
-    x = np.zeros(len(h) - width + 1, np.uint64)
-    for i in range(width):
-        x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
-    return np.unique(x + np.uint64(width))
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles; a shorter text is one shingle, no words give none.
+
+    bytes.lower() changes A-Z only, and words end at ASCII white space only.
+    """
+    _, _, _, h, first = hash_words([t.encode().lower() for t in texts], _SEP)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        w = min(width, b - a)
+        x = np.zeros(b - a - w + 1 if w else 0, np.uint64)
+        for i in range(w):
+            x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + h[a + i : a + i + len(x)])
+        out.append(np.unique(x + np.uint64(w)))
+    return out
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +69,7 @@ def _signatures(width: int, bands: int, rows: int):
         weights = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
         for part in rows_of(batches, "doc_id", "text"):
             ids, sizes, keys, hashes = [], [], [], []
-            for doc_id, text in part:
-                s = shingle_set(text, width)
+            for (doc_id, _), s in zip(part, shingle_sets([t for _, t in part], width)):
                 ids.append(doc_id)
                 sizes.append(len(s))
                 if len(s):
@@ -86,7 +89,7 @@ def _sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, "doc_id", "text"):
-            yield batch_of(schema, [[d for d, _ in part], [shingle_set(t, width).tobytes() for _, t in part]])
+            yield batch_of(schema, [[d for d, _ in part], [s.tobytes() for s in shingle_sets([t for _, t in part], width)]])
 
     return run, "rep long, shingles binary"
 

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelnet.llm import near_dup, quality_rules
+from panelnet.llm import near_dup, packing, quality_rules, sentence_pieces, token_records
 from panelnet.llm.common import table
 
 
+def op6_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_records.write_records(table(spark, sf_dir, "documents"))
+    return token_records.read_records(folder, manifest)
+
+
+def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -17,4 +30,4 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op6_sentencepiece_agenda, op7_token_records, op8_quality_rules, op9_lexical_packing, op10_minhash_near_dedup)}
