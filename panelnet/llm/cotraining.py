@@ -10,10 +10,12 @@ What is learnt from is a bounded sample; all documents are scored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, columns: list[str], most: tuple[in
     """Learn from at most most[0] labelled and most[1] unlabelled documents, those with the least hash of doc_id.
 
     labels(doc_id, quality); null ids and labels count for nothing, an id with several labels has the largest.
-    The sample is bounded, so the driver may hold its features.
+    The sample is bounded, and so is the task that learns; the driver gets the model.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[0])
@@ -147,10 +149,17 @@ def train(docs: DataFrame, labels: DataFrame, columns: list[str], most: tuple[in
             a, b = _views([p[2:] for p in part], columns)
             yield batch_of(schema, [[p[0] for p in part], [p[1] for p in part], [x.tobytes() for x in a], [x.tobytes() for x in b]])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, label int, a binary, b binary").collect(), key=lambda r: (r.doc_id, r.a))
-    views = [(np.frombuffer(r.a, np.int32).astype(np.int64), np.frombuffer(r.b, np.int32).astype(np.int64)) for r in got]
-    order = np.random.default_rng(11).permutation(len(got))
-    return cotrain([views[i] for i in order], [got[i].label for i in order])
+    featured = rows.mapInArrow(run, "doc_id long, label int, a binary, b binary")
+    got = featured.repartition(1).mapInArrow(_learnt, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else cotrain([], [])
+
+
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model, learnt in one task from the bounded sample in the order of a hash of its rows."""
+    got = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("a", "b", "doc_id", "label")))]
+    got.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r[0]), r[:3]))
+    views = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b, *_ in got]
+    yield batch_of(pa.schema([("model", pa.binary())]), [[pickle.dumps(cotrain(views, [r[3] for r in got]))]])
 
 
 def metadata(docs: DataFrame) -> list[str]:

@@ -99,4 +99,7 @@ def quality_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 def kept_rows(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
     d = counted(docs, as_text(), [F.struct("*").alias("_c_row")])
-    return d.where(~base_failed() & verdict(thresholds)).select("_c_row.*")
+    # the partition number, always 0 or more, keeps the optimizer from moving the filter below the counts, where
+    # each of them would be inlined, and computed, many times over
+    kept = ~base_failed() & verdict(thresholds) & (F.spark_partition_id() >= 0)
+    return d.select("_c_row", kept.alias("_c_kept")).where("_c_kept").select("_c_row.*")
