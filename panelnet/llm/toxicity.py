@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,23 +50,35 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> np.n
 
     labels(doc_id, toxic); rows with a null id or label, and ids that docs lacks, count for nothing; an id with
     several labels has the largest. Without labels of both kinds all weights are 0 and every score is 0.5. The
-    sample is bounded, so is what the driver holds: `most` rows of features and 2^20 weights.
+    sample is bounded, so is the task that learns: `most` rows of features; the driver gets the weights that are not 0.
     """
     labelled = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     sample = labelled.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")).join(F.broadcast(sample), "doc_id")
-    got = sorted(texts.mapInArrow(_featured, "doc_id long, label int, row binary").collect())
+    rows = texts.mapInArrow(_featured, "doc_id long, label int, row binary")
+    out = np.zeros((1 << BITS) + 1, np.float32)
+    for r in rows.repartition(1).mapInArrow(_learnt, "at array<int>, weights array<float>").collect():
+        out[r["at"]] = r["weights"]
+    return out
+
+
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights that are not 0, learnt in one task from the bounded sample in the order of a hash of its rows."""
     votes: dict[bytes, list[int]] = {}
-    for r in got:
-        votes.setdefault(r.row, []).append(r.label)
-    marks = [float(2 * sum(v) >= len(v)) for v in votes.values()]
+    for batch in batches:
+        for row, label in zip(batch.column("row").to_pylist(), batch.column("label").to_pylist()):
+            votes.setdefault(row, []).append(label)
+    order = sorted(votes, key=lambda r: (xxhash.xxh3_64_intdigest(r), r))
+    marks = [float(2 * sum(votes[r]) >= len(votes[r])) for r in order]
     if len(set(marks)) < 2:
-        return np.zeros((1 << BITS) + 1, np.float32)
-    rows = [np.frombuffer(r, np.int32).astype(np.int64) for r in votes]
+        return
     df = np.zeros(1 << BITS, np.int32)
-    for r in rows:
-        df[r] += 1
-    return Ftrl(BITS, alpha=2.0, l1=5.0).fit([r[df[r] >= LEAST_ROWS] for r in rows], marks, epochs=3).weights()
+    for r in order:
+        df[np.frombuffer(r, np.int32)] += 1
+    rows = [(x := np.frombuffer(r, np.int32))[df[x] >= LEAST_ROWS] for r in order]
+    at, weights = _packed(Ftrl(BITS, alpha=2.0, l1=5.0).fit(rows, marks, epochs=3).weights())
+    schema = pa.schema([("at", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))])
+    yield batch_of(schema, [[at], [weights]])
 
 
 def _packed(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
