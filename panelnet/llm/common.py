@@ -61,16 +61,18 @@ def as_text(c: str = "text"):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def rows_of(batches: Iterable[pa.RecordBatch], *names: str, most_chars: int = 1 << 20) -> Iterator[list[tuple]]:
+def rows_of(batches: Iterable[pa.RecordBatch], *names: str, most_chars: int = 1 << 19) -> Iterator[list[tuple]]:
     """Lists of rows of about most_chars characters; the last name is the text column."""
     out, chars = [], 0
-    for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in names)):
-            out.append(row)
-            chars += len(row[-1] or "") + 64
-            if chars >= most_chars:
-                yield out
-                out, chars = [], 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            for row in zip(*(batch.column(n).to_pylist() for n in names)):
+                out.append(row)
+                chars += len(row[-1] or "") + 64
+                if chars >= most_chars:
+                    yield out
+                    out, chars = [], 0
     if out:
         yield out
 

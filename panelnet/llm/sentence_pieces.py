@@ -33,7 +33,7 @@ _held: dict[str, Pieces] = {}
 
 
 class Pieces:
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -121,7 +121,7 @@ class Pieces:
         """The ids of each text: those of its segments, each a run of word marks and what follows up to the next."""
         if len(self.cores) >= self.most:
             self.cores = {}
-        if self.table.room() < 1 << 19:
+        if self.table.room() < 1 << 18:
             self.table.clear()
             self.rows = Ragged(self.rows.flat.dtype)
         #: Marks become spaces. A segment with more than one mark in front keeps the others as marks, so that
@@ -134,6 +134,7 @@ class Pieces:
             distinct, at = np.unique(h[new], return_index=True)
             at = new[at]
             words = [buf[a:b].replace(b"\xff", b"\n").decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            self.table.reserve(len(distinct))
             self.table.add(distinct)
             self.rows.extend(self.learn([w.removesuffix(_NOTHING) for w in words]))
             number[new] = self.table.find(h[new])

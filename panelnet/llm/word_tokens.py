@@ -33,15 +33,15 @@ class WordIds:
         self.rows = Ragged(self.rows.flat.dtype)
 
     def full(self) -> bool:
-        return self.table.room() < 1 << 19
+        return self.table.room() < 1 << 18
 
     def _learn(self, buf: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
         new, at = np.unique(h, return_index=True)
-        if len(new) > self.table.room():
-            raise MemoryError("a batch holds more new words than the table takes")
+        self.table.reserve(len(new))
         words = [buf[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         self.table.add(new)
-        self.rows.extend([e.ids for e in self.library.encode_batch(words, add_special_tokens=False)])
+        for i in range(0, len(words), 4096):
+            self.rows.extend([e.ids for e in self.library.encode_batch(words[i : i + 4096], add_special_tokens=False)])
 
     def words(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the numbers of its words; they hold until clear()."""

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _LONG = 64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(_LONG)], np.uint64)
 
@@ -77,7 +77,7 @@ def hash_words(texts: list[bytes], sep: np.ndarray) -> tuple[bytes, np.ndarray,
 class WordTable:
     """Hash -> number of a word, open addressing over arrays; clear() when full() says so."""
 
-    def __init__(self, bits: int = 22, fill: float = 0.55):
+    def __init__(self, bits: int = 21, fill: float = 0.55):
         self.bits, self.most = bits, int(fill * (1 << bits))
         self.clear()
 
@@ -89,6 +89,15 @@ class WordTable:
     def room(self) -> int:
         return self.most - self.n
 
+    def reserve(self, more: int) -> None:
+        """Grow the table, if need be, so that it takes `more` words: one very long text may need that."""
+        while more > self.room():
+            keys, values = self.keys[self.values >= 0], self.values[self.values >= 0]
+            order, n = np.argsort(values), self.n
+            self.__init__(self.bits + 1, self.most / (1 << self.bits))
+            self.add(keys[order])
+            assert self.n == n
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The words' numbers, -1 where a word is new."""
         mask = (1 << self.bits) - 1
@@ -127,9 +136,10 @@ class Ragged:
 
     def __init__(self, dtype):
         self.flat, self.used = np.zeros(1 << 16, dtype), 0
-        self.at, self.count, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+        self.at, self.count, self.n = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint32), 0
 
     def extend(self, rows: list) -> None:
+        """Add rows of numbers; positions are 32-bit, far above what a table of words holds."""
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         total, n = int(lengths.sum()), len(rows)
         while self.used + total > len(self.flat):
@@ -145,5 +155,5 @@ class Ragged:
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the rows' numbers in a row, the rows' lengths)."""
         n = self.count[rows].astype(np.int64)
-        place = np.arange(int(n.sum())) + np.repeat(self.at[rows] - (np.cumsum(n) - n), n)
+        place = np.arange(int(n.sum())) + np.repeat(self.at[rows].astype(np.int64) - (np.cumsum(n) - n), n)
         return self.flat[place], n
