@@ -70,11 +70,15 @@ if not all(any(t in s for t in TRIGGERS) for _, s in SENTENCES):
     raise ValueError("a licence sentence has no trigger")
 
 SPLIT = r"([.:;!?])[\x20\x09-\x0D]+"
+#: The colon of a licence tag ends no sentence.
+TAG = "(?i)(identifier):"
+#: Longer rules first: what they match is taken out of the sequence.
+ORDERED = sorted(RULES, key=lambda r: -len(r[1]))
 
 
 def sentences(text: Column) -> Column:
     """Normalised sentences: parts ended by a mark and white space, or a line feed; letters and digits, in lower case."""
-    parts = F.split(F.regexp_replace(text, SPLIT, "$1\n"), "\n")
+    parts = F.split(F.regexp_replace(F.regexp_replace(text, TAG, "$1"), SPLIT, "$1\n"), "\n")
     return F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
 
 
@@ -86,7 +90,7 @@ def recognise(ids: Column) -> Column:
     """
     line = F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|"))
     found = F.lit("")
-    for name, rule in sorted(RULES, key=lambda r: -len(r[1])):
+    for name, rule in ORDERED:
         run = "|" + "|".join(rule) + "|"
         found = F.concat(found, F.when(F.contains(line, F.lit(run)), F.lit(name + "\n")).otherwise(F.lit("")))
         if len(rule) > 1:

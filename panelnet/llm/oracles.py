@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelnet.llm import licenses
 from panelnet.llm.quality_rules import STOP_WORDS, THRESHOLDS
 
 _stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS.split())))
@@ -44,4 +45,29 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.y)::BIGINT A
 FROM d JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLES = {"op8_quality_rules": OP8, "op10_minhash_near_dedup": OP10}
+
+
+def _licenses() -> str:
+    known = ", ".join(f"('{name}', '{text}')" for name, text in licenses.SENTENCES)
+    some = " OR ".join(f"contains(lower(t), '{x}')" for x in licenses.TRIGGERS)
+    steps = "r0 AS (SELECT *, '|' || array_to_string(ids, '|') || '|' AS line, '' AS found FROM i)"
+    for k, (name, rule) in enumerate(licenses.ORDERED):
+        run = "|" + "|".join(rule) + "|"
+        line = f"replace(line, '{run}', '||')" if len(rule) > 1 else "line"
+        steps += f",\nr{k + 1} AS (SELECT * EXCLUDE (line, found), {line} AS line, found || CASE WHEN contains(line, '{run}') THEN '{name}' || chr(10) ELSE '' END AS found FROM r{k})"
+    return f"""
+WITH k(id, s) AS (VALUES {known}), m AS (SELECT map(list(s), list(id)) AS m FROM k),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, CASE WHEN {some} THEN list_filter(list_transform(
+    string_split(regexp_replace(regexp_replace(t, '{licenses.TAG}', '\\1', 'g'), '{licenses.SPLIT}', '\\1' || chr(10), 'g'), chr(10)),
+    lambda s : trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s : s <> '') ELSE [] END AS p FROM d),
+i AS (SELECT doc_id, list_transform(p, lambda s : coalesce(m[s], '')) AS ids FROM p, m),
+{steps}
+SELECT doc_id, array_to_string(list_filter(ids, lambda x : x <> ''), ',') AS sentence_ids,
+  len(list_filter(ids, lambda x : x <> ''))::BIGINT AS n_sentences,
+  array_to_string(list_sort(list_distinct(list_filter(string_split(found, chr(10)), lambda x : x <> ''))), ',') AS licenses
+FROM r{len(licenses.ORDERED)}
+"""
+
+
+ORACLES = {"op3_license_sentences": _licenses(), "op8_quality_rules": OP8, "op10_minhash_near_dedup": OP10}

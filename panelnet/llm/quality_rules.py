@@ -86,6 +86,12 @@ def verdict(thresholds=THRESHOLDS) -> Column:
     return out
 
 
+def _here(c: Column) -> Column:
+    """c, at this place of the plan. The partition number, always 0 or more, keeps the optimizer from moving a filter
+    on c below the counts, where each of them would be inlined, and computed, many times over."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def quality_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, counts, base_failed, kept), a row for a row.
 
@@ -93,13 +99,12 @@ def quality_rules(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     judged row by row; other columns of docs are ignored, whatever their names; an empty table gives none.
     """
     d = counted(docs, as_text(), [F.col("doc_id")])
-    return d.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & verdict(thresholds)).alias("kept"))
+    flags = {"base_failed": base_failed(), "kept": ~base_failed() & verdict(thresholds)}
+    return d.select("doc_id", *[_here(F.col(c)).alias(c) for c in COUNTS], *[_here(c).alias(n) for n, c in flags.items()])
 
 
 def kept_rows(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
     d = counted(docs, as_text(), [F.struct("*").alias("_c_row")])
-    # the partition number, always 0 or more, keeps the optimizer from moving the filter below the counts, where
-    # each of them would be inlined, and computed, many times over
-    kept = ~base_failed() & verdict(thresholds) & (F.spark_partition_id() >= 0)
+    kept = _here(~base_failed() & verdict(thresholds))
     return d.select("_c_row", kept.alias("_c_kept")).where("_c_kept").select("_c_row.*")
