@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from panelnet import sources
 from panelnet.functions import scalars
 from panelnet.operators import annual, cluster, graph, indices, labels, panel, report, scaling
+from panelnet.config import Config
+from panelnet.plans import pipeline
 from panelnet.plans import testbed as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,3 +305,10 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["flagship_graph"] = flagship
+
+# ---- runs ----
+_small = Config(k_range=(3, 3), subsamples=2, knn=4)
+query("k_selection")(lambda s, d: pipeline.choose_k(s, d, _small))
+query("edge_rules")(lambda s, d: pipeline.compare_rules(s, d, _small, ("attr", "corr", "geo")))
+query("method_comparison")(lambda s, d: pipeline.compare_methods(s, d, _small, 2, ("kmeans", "ward", "spectral")))
+query("sensitivity")(lambda s, d: pipeline.sensitivity(s, d, _small, 2))
