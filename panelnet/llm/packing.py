@@ -23,6 +23,8 @@ from panelnet.llm.word_tokens import vocabulary_path, word_ids
 
 WINDOW, SHARD_TOKENS = 4096, 1 << 20
 K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, 24, 0.1
+#: This task sorts and shuffles nothing, so its worker has room for a large table of words.
+TABLE_BITS = 22
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
@@ -136,7 +138,7 @@ def _run(vocabulary: str, end: int, window: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer, coder = Packer(window, TaskContext.get().partitionId() << 32), word_ids(vocabulary)
+        packer, coder = Packer(window, TaskContext.get().partitionId() << 32), word_ids(vocabulary, TABLE_BITS)
         shard, tokens = [], 0
         for part in rows_of(batches, "doc_id", "text"):
             if not shard and coder.full():

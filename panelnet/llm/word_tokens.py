@@ -16,16 +16,16 @@ from panelnet.llm.words import Ragged, WordTable, hash_words, separators
 
 VOCABULARY = "word_bpe_49k.json"
 _SEP = separators(b" \n")
-_held: dict[str, WordIds] = {}
+_held: dict[tuple[str, int], WordIds] = {}
 
 
 class WordIds:
-    def __init__(self, path: str):
+    def __init__(self, path: str, bits: int = 21):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.table = WordTable()
+        self.table = WordTable(bits)
         self.rows = Ragged(np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
 
     def clear(self) -> None:
@@ -61,11 +61,11 @@ class WordIds:
         return out
 
 
-def word_ids(path: str) -> WordIds:
-    """One table for each worker process and vocabulary."""
-    if path not in _held:
-        _held[path] = WordIds(path)
-    return _held[path]
+def word_ids(path: str, bits: int = 21) -> WordIds:
+    """One table for each worker process, vocabulary and size; a larger one encodes fewer words again."""
+    if (path, bits) not in _held:
+        _held[path, bits] = WordIds(path, bits)
+    return _held[path, bits]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
