@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -75,6 +76,15 @@ def rows_of(batches: Iterable[pa.RecordBatch], *names: str, most_chars: int = 1
                     out, chars = [], 0
     if out:
         yield out
+    release()
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the system; workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelnet.llm.common import as_text, batch_of, rows_of
+from panelnet.llm.common import as_text, batch_of, release, rows_of
 from panelnet.llm.words import hash_words, separators
 
 #: Given names by gender and script.
@@ -259,5 +259,6 @@ def anonymous(docs: DataFrame, key: bytes) -> DataFrame:
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([n if a == b else len(b) for n, a, b in zip(columns["n_chars"].to_pylist(), old, new)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+        release()
 
     return docs.mapInArrow(run, docs.schema)

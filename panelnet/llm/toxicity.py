@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelnet.llm.common import as_text, batch_of, rows_of
+from panelnet.llm.common import as_text, batch_of, release, rows_of
 from panelnet.llm.ftrl import Ftrl, margin, sigmoid
 from panelnet.llm.words import hash_words, mix64, separators
 
@@ -77,6 +77,8 @@ def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df[np.frombuffer(r, np.int32)] += 1
     rows = [(x := np.frombuffer(r, np.int32))[df[x] >= LEAST_ROWS] for r in order]
     at, weights = _packed(Ftrl(BITS, alpha=2.0, l1=5.0).fit(rows, marks, epochs=3).weights())
+    del votes, order, rows
+    release()
     schema = pa.schema([("at", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))])
     yield batch_of(schema, [[at], [weights]])
 
@@ -120,5 +122,6 @@ def not_toxic(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> D
         for batch in batches:
             keep = [sigmoid(margin(features([t or ""])[0], w)) < threshold for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
