@@ -33,7 +33,7 @@ _held: dict[str, Pieces] = {}
 
 
 class Pieces:
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -50,7 +50,7 @@ class Pieces:
         self.surface = {i: bytes([b]) for b, i in self.byte.items()} | {i: p.replace(MARK, " ").encode() for p, i in self.id.items()}
         self.decimal = [str(i) for i in range(len(pieces))]
         self.most, self.cores = most, {}
-        self.table, self.rows = WordTable(), Ragged(np.uint16 if len(pieces) <= 1 << 16 else np.uint32)
+        self.table, self.rows = WordTable(22), Ragged(np.uint16 if len(pieces) <= 1 << 16 else np.uint32)
 
     def merge(self, text: str) -> list[str]:
         """The symbols of a segment after all merges."""
