@@ -59,8 +59,10 @@ def test_many_texts_at_once(ids, coder):
 def test_a_wrong_score_is_noticed():
     wrong = sentence_pieces.Pieces(public_tokenizers.path(sentence_pieces.MODEL))
     wrong.score["th"], wrong.score["he"] = -1e6, 0.0
+    assert wrong.merge("▁weather") == ["▁weather"]  # other merges, the same pieces: nothing to notice
+    assert wrong.merge("▁lighthouse") != wrong.library.encode("lighthouse", out_type=str)
     with pytest.raises(ValueError, match="differ"):
-        wrong.encode(["the weather"])
+        wrong.encode(["the lighthouse"])
 
 
 def test_hash_words_against_split():
