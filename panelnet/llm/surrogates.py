@@ -59,6 +59,8 @@ _PATTERN = re.compile(
 )
 _SEP = separators(bytes(c for c in range(128) if not chr(c).isalpha()))
 _CALLS = [*_POOL, *TITLES]
+_MARK = re.compile("[0-9@]|[a-f]{32}|[A-F]{32}")
+_SECRET = re.compile("token|secret|passw|(?:api|access)[_-]?key")
 
 
 def _walk(key: bytes, n: int, x: int, fits: Callable[[int], bool]) -> int:
@@ -206,12 +208,16 @@ def replace(key: bytes, text: str) -> tuple[str, list[tuple[str, str, str]]]:
 
 
 def _suspects(texts: list[str]) -> list[bool]:
-    """Whether a text has a digit, an at sign, a name of the pool or a form of address."""
+    """Whether _PATTERN can match a text at all; never False where it does.
+
+    A match holds an ASCII digit, an at sign, 32 letters of hexadecimal, a word for a secret, or a name of the pool or
+    form of address. In ASCII text the last two end at what _SEP has, and lower() is all that (?i:) does; any
+    other text counts as suspect, as marks and spaces beyond ASCII end words, too.
+    """
     *_, h, first = hash_words([t.encode() for t in texts], _SEP)
     calls = np.sort(hash_words([n.encode() for n in _CALLS], _SEP)[3])
     hit = np.concatenate([[0], np.cumsum(calls[np.minimum(np.searchsorted(calls, h), len(calls) - 1)] == h)])
-    mark = re.compile("[0-9@]")
-    return [bool(hit[b] > hit[a] or mark.search(t)) for t, a, b in zip(texts, first[:-1], first[1:])]
+    return [bool(not t.isascii() or hit[b] > hit[a] or _MARK.search(t) or _SECRET.search(t.lower())) for t, a, b in zip(texts, first[:-1], first[1:])]
 
 
 def replaced(key: bytes, texts: list[str]) -> list[tuple[str, list]]:
