@@ -133,12 +133,12 @@ def cotrain(views: list[tuple[np.ndarray, np.ndarray]], labels: list[int | None]
 def train(docs: DataFrame, labels: DataFrame, columns: list[str], most: tuple[int, int] = (MOST_LABELLED, MOST_UNLABELLED)) -> Model:
     """Learn from at most most[0] labelled and most[1] unlabelled documents, those with the least hash of doc_id.
 
-    labels(doc_id, quality); null ids and labels count for nothing, an id with several labels has the largest.
+    labels(doc_id, quality); null ids and labels, and ids that docs lacks, count for nothing, an id with several labels has the largest.
     The sample is bounded, and so is the task that learns; the driver gets the model.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[0])
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    chosen = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[0])
     free = ids.join(known.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[1])
     sample = chosen.unionByName(free.distinct().withColumn("label", F.lit(None).cast("int")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, as_text().alias("text")).join(F.broadcast(sample), "doc_id")

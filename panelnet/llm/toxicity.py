@@ -46,14 +46,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> np.ndarray:
-    """Weights from labelled rows that are not held out: of those, the `most` with the least hash of doc_id.
+    """Weights from labelled rows of docs that are not held out: of those, the `most` with the least hash of doc_id.
 
     labels(doc_id, toxic); rows with a null id or label, and ids that docs lacks, count for nothing; an id with
     several labels has the largest. Without labels of both kinds all weights are 0 and every score is 0.5. The
     sample is bounded, so is the task that learns: `most` rows of features; the driver gets the weights that are not 0.
     """
     labelled = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
-    sample = labelled.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    sample = labelled.where(~held_out()).join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")).join(F.broadcast(sample), "doc_id")
     rows = texts.mapInArrow(_featured, "doc_id long, label int, row binary")
     out = np.zeros((1 << BITS) + 1, np.float32)
@@ -114,7 +115,9 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def not_toxic(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns; all rows where nothing was learnt."""
+    if not weights.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(_packed(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

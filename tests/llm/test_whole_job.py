@@ -1,6 +1,6 @@
 """Cases that an operator once left out: each failed before the whole job was done."""
 
-from panelnet.llm import surrogates
+from panelnet.llm import cotraining, surrogates, toxicity
 
 
 def test_surrogates_shortcut_lets_nothing_through():
@@ -12,3 +12,28 @@ def test_surrogates_shortcut_lets_nothing_through():
     got = surrogates.replaced(b"k", texts)
     assert got == [surrogates.replace(b"k", t) for t in texts]
     assert [bool(found) for _, found in got] == [True] * 14 + [False] * 3
+
+
+def _labelled(spark):
+    docs = spark.createDataFrame([(i, ("vile hateful scum " if i % 2 else "kind gentle day ") * 3 + f"w{i}", "web", "en") for i in range(400)], "doc_id long, text string, source string, lang string")
+    return docs, spark.createDataFrame([(i, i % 2, i % 2) for i in range(40_000)], "doc_id long, toxic int, quality int")
+
+
+def test_toxicity_sample_is_taken_from_the_documents_at_hand(spark):
+    docs, labels = _labelled(spark)
+    few = toxicity.train(docs, labels, most=200)
+    assert (few == toxicity.train(docs, labels.where("doc_id < 400"), most=200)).all() and few.any()
+    assert toxicity.not_toxic(docs, few).count() == 200
+
+
+def test_toxicity_without_labels_keeps_every_row(spark):
+    docs, labels = _labelled(spark)
+    for none in (labels.where("false"), labels.where("toxic = 0")):
+        assert toxicity.not_toxic(docs, toxicity.train(docs, none)).count() == 400
+
+
+def test_cotraining_sample_is_taken_from_the_documents_at_hand(spark):
+    docs, labels = _labelled(spark)
+    few = cotraining.train(docs, labels, ["source", "lang"], (200, 100))
+    same = cotraining.train(docs, labels.where("doc_id < 400"), ["source", "lang"], (200, 100))
+    assert (few.text == same.text).all() and (few.meta == same.meta).all() and few.text.any()
