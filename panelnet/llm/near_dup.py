@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash with banding, exact confirmation, components by star steps.
 
 1. Each document gets its set of distinct word shingles (64-bit hashes), a key of the whole set, and one
-   hash for each band of `rows` minima. Documents with equal sets collapse to their least doc_id.
+   hash for each band of `rows` minima. Documents with equal sets collapse to one set with a number of its own.
 2. Sets that share a band hash are candidates. Each bucket links its members to its least member; the
    components of those links ("blobs") hold every candidate pair.
 3. A blob's full sets meet in one task, or block by block where the blob is large: memory is bounded and
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from panelnet.llm.common import as_text, batch_of, rows_of, stored
+from panelnet.llm.common import as_text, batch_of, release, rows_of, stored
 from panelnet.llm.components import connected_components
 from panelnet.llm.words import ASCII_SPACE, hash_words, mix64, separators
 
@@ -73,7 +74,7 @@ def _signatures(width: int, bands: int, rows: int):
                 ids.append(doc_id)
                 sizes.append(len(s))
                 if len(s):
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    keys.append(_key(s))
                     b = mix64((minima(s, mult, add) * weights).reshape(bands, rows).sum(axis=1, dtype=np.uint64))
                     hashes.append(b.view(np.int64))
                 else:
@@ -84,14 +85,19 @@ def _signatures(width: int, bands: int, rows: int):
     return run, "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
+def _key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sets(width: int):
-    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("set_key", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, "doc_id", "text"):
-            yield batch_of(schema, [[d for d, _ in part], [s.tobytes() for s in shingle_sets([t for _, t in part], width)]])
+            sets = [s for s in shingle_sets([t for _, t in part], width) if len(s)]
+            yield batch_of(schema, [[_key(s) for s in sets], [s.tobytes() for s in sets]])
 
-    return run, "rep long, shingles binary"
+    return run, "set_key binary, shingles binary"
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -142,47 +148,91 @@ def _confirm(percent: int):
     return run, "a long, b long"
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row for each row of docs.
-
-    A null or blank text has an empty set and links with nothing: it is its own component. Rows that repeat a
-    doc_id are the same node. A row with a null doc_id takes the component of its equal texts and is kept only
-    if none of them has an id. Other columns of docs are ignored, whatever their names; an empty table gives
-    an empty result. Texts are read whole, however long.
-    """
+def _groups(docs: DataFrame, width: int, percent: int, bands: int = BANDS, rows: int = ROWS, by_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(a row for a row: doc_id, n_shingles, set_key; a row for a set: set_key, least doc_id, group). by_id: sets with the same least doc_id are linked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text"))
     run, schema = _signatures(width, bands, rows)
     signed = stored(docs.mapInArrow(run, schema), "signatures")
     reps = (
-        signed.where("set_key is not null and doc_id is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+        signed.where("set_key is not null").groupBy("set_key")
+        .agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     )
-    reps = stored(reps, "sets")
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "sets")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
     lowest = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = buckets.join(lowest, "bucket").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     blobs = stored(connected_components(stars), "blobs").withColumnsRenamed({"node": "rep", "component": "blob"})
-    members = blobs.join(reps.groupBy("rep").agg(F.sum("size").alias("size")), "rep")
+    members = blobs.join(reps.select("rep", "size", "set_key", "least"), "rep")
     load = members.groupBy("blob").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     load = load.select("blob", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    placed = members.join(load, "blob").select("rep", "blob", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
+    placed = members.join(load, "blob").select("set_key", "least", "rep", "blob", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
     run, schema = _sets(width)
-    texts = docs.join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(run, schema).join(placed, "rep")
+    named = docs.where("doc_id is not null").join(placed.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+    nameless = docs.where("doc_id is null").mapInArrow(run, schema).dropDuplicates(["set_key"])
+    sets = named.mapInArrow(run, schema).join(placed.where("least is not null").drop("least"), "set_key")
+    sets = sets.unionByName(nameless.join(placed.where("least is null").drop("least"), "set_key"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
     dealt = sets.select("rep", "shingles", "blob", "block", other.alias("other"))
     dealt = dealt.select("rep", "shingles", "blob", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     run, schema = _confirm(percent)
     links = dealt.groupBy("blob", "i", "j").applyInArrow(run, schema)
+    if by_id:
+        again = reps.groupBy("least").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("least is not null and n > 1").drop("n")
+        links = links.unionByName(reps.join(again, "least").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     found = stored(connected_components(links), "components")
-    named = reps.join(found, reps.rep == found.node, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    return signed.drop("bands"), reps.join(found, reps.rep == found.node, "left").select("set_key", "least", F.coalesce("component", "rep").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row for each row of docs.
+
+    A null or blank text has an empty set and links with nothing: it is its own component. Sets are compared by a
+    number of their own, so rows without a doc_id take part; a component is named by its least doc_id, null if no
+    row of it has one. Sets with the same least doc_id are one component. Rows that repeat a doc_id are kept or not
+    together, as are rows without one; one_of_each() tells such rows apart. Other columns of docs are ignored,
+    whatever their names; an empty table gives an empty result. Texts are read whole, however long.
+    """
+    signed, named = _groups(docs, width, percent, bands, rows, by_id=True)
+    named = named.join(named.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("set_key", "component_id")
+    out = signed.join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _keyed(names: list[str], width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                keys = [_key(s) if len(s) else None for s in shingle_sets([t or "" for t in batch.column("text").to_pylist()], width)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(keys, pa.binary())], names=[*names, "_set_key"])
+        release()
+
+    return run
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that a document of their group with a smaller doc_id stands for; all columns stay."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of each group of near-duplicates, that of the least doc_id (nulls last); all columns stay.
+
+    Rows with an empty set stay. Rows that share a doc_id or have none are told apart by their sets: different texts
+    under one doc_id are different documents, and of rows with the same doc_id and set the one of the least text stays.
+    """
+    signed, named = _groups(docs, width, percent)
+    signed = signed.where("set_key is not null")
+    best = named.groupBy("group").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "set_key")).alias("best"))
+    named = named.join(best, "group").select("set_key", "least", (F.col("set_key") == F.col("best.set_key")).alias("wins"))
+    named = stored(named, "winners")
+    gone = signed.join(named, "set_key").where(~(F.col("wins") & F.col("doc_id").eqNullSafe(F.col("least")))).select("doc_id")
+    shared = stored(signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "shared")
+    away = gone.select(F.col("doc_id").alias("_gone")).unionByName(shared.select(F.col("_id").alias("_gone"))).distinct()
+    alone = docs.join(away, docs["doc_id"].cast("long").eqNullSafe(away["_gone"]), "left_anti")
+    if shared.isEmpty():
+        return alone
+    rest = docs.join(shared, docs["doc_id"].cast("long").eqNullSafe(shared["_id"]), "left_semi")
+    rest = rest.mapInArrow(_keyed(docs.columns, width), StructType([*docs.schema.fields, StructField("_set_key", BinaryType())]))
+    blank = rest.where("_set_key is null").select(docs.columns)
+    wins = named.where("wins").select(F.col("set_key").alias("_set_key"), F.col("least").alias("_least"))
+    rest = rest.join(wins, "_set_key").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_least")))
+    one = rest.groupBy("_set_key").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    return alone.unionByName(blank).unionByName(one)

@@ -1,6 +1,6 @@
 """Cases that an operator once left out: each failed before the whole job was done."""
 
-from panelnet.llm import cotraining, surrogates, toxicity
+from panelnet.llm import cotraining, near_dup, surrogates, toxicity
 
 
 def test_surrogates_shortcut_lets_nothing_through():
@@ -37,3 +37,25 @@ def test_cotraining_sample_is_taken_from_the_documents_at_hand(spark):
     few = cotraining.train(docs, labels, ["source", "lang"], (200, 100))
     same = cotraining.train(docs, labels.where("doc_id < 400"), ["source", "lang"], (200, 100))
     assert (few.text == same.text).all() and (few.meta == same.meta).all() and few.text.any()
+
+
+def test_near_dedup_rows_without_and_with_repeated_ids(spark):
+    def words(seed):
+        return [f"{seed}w{i}" for i in range(80)]
+
+    def near(seed):
+        return " ".join([*words(seed)[:-1], "other"])
+
+    a, b, c, d, e, f = (" ".join(words(s)) for s in "abcdef")
+    rows = [
+        (1, a), (None, a), (None, b), (None, c), (None, c), (None, near("c")), (None, None), (None, None), (None, ""),
+        (2, d), (2, d), (2, e), (2, None), (3, near("d")), (4, f), (5, f), (None, near("a")),
+    ]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int").repartition(4)
+    got = near_dup.one_of_each(docs).collect()
+    kept = sorted(((r.doc_id, r.text) for r in got), key=str)
+    some_c = [x for x in kept if x in ((None, c), (None, near("c")))]
+    assert len(some_c) == 1
+    want = [(1, a), (None, b), (None, None), (None, None), (None, ""), (2, d), (2, e), (2, None), (4, f), *some_c]
+    assert kept == sorted(want, key=str)
+    assert len({r.row for r in got}) == len(got)
