@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,20 @@ def rows_of(batches: Iterable[pa.RecordBatch], *names: str, most_chars: int = 1
     release()
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most 256 rows, cut where they hold about most_bytes of text."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        at, held = 0, 0
+        for i, n in enumerate(size):
+            if i > at and (held + n > most_bytes or i - at == 256):
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < len(size):
+            yield batch.slice(at)
+
+
 def release() -> None:
     """Give memory that a worker has freed back to the system; workers live on between tasks and stages."""
     pa.default_memory_pool().release_unused()

@@ -17,7 +17,7 @@ def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return surrogates.checked(table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
 
 def op3_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

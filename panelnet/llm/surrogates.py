@@ -1,263 +1,296 @@
 """Personal data replaced by keyed surrogates of the same type, gender, script and format.
 
-A surrogate is the image of the entity under a keyed permutation of all strings of its format (a Feistel network
-over the mixed-radix number that the string stands for). Within a format no two entities can share a surrogate,
-and one entity has the same surrogate in every document, on every executor, without a table of entities. Names
-from a pool go to names of the pool of their gender and script; other names keep vowels and consonants in place.
-A permutation is walked on where the image has other traits than the entity (card check digit, private address)
-or is a pool name, which keeps it one to one. check_collisions() tests distinctness over a whole result.
+An entity is named by its kind and a normal form (an address without regard to case, the digits of a number, the
+value of an IP address, a name in lower case), so that all ways to write it share one surrogate, in every document
+and on every executor, without a table of entities. The normal form's image under a keyed permutation of its format
+(permutations.py) is written the way the entity was. Within a format no two entities can share a surrogate and none
+keeps its own; where formats could meet, the permutation is held to images of the entity's own class (private
+addresses, sound check digits, names of a pool). check_collisions() tests distinctness over a whole result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import hmac
-import ipaddress
-import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelnet.llm.common import as_text, batch_of, release, rows_of
-from panelnet.llm.words import hash_words, separators
-
-#: Given names by gender and script.
-NAMES = {
-    ("f", "latin"): "Anna Maria Emma Julia Laura Sophie Clara Helena Alice Marie Camille Elena Lucía Carmen Isabel Sofía Petra Ingrid Greta Nadine Claire Louise Amélie Jane Mary Sarah Emily Susan Linda Karen",
-    ("m", "latin"): "John James Robert Michael William David Thomas Daniel Paul Mark Peter Hans Karl Stefan Jürgen Pierre Jean Louis Antoine Michel Carlos José Luis Miguel Pablo Javier Andrew George Henry Martin",
-    ("f", "cyrillic"): "Анна Мария Елена Ольга Татьяна Наталья Ирина Светлана Екатерина Юлия Дарья Вера Надежда Людмила Галина",
-    ("m", "cyrillic"): "Иван Пётр Сергей Алексей Дмитрий Андрей Николай Михаил Владимир Павел Юрий Олег Борис Виктор Антон",
-    ("f", "greek"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ειρήνη Δήμητρα Βασιλική",
-    ("m", "greek"): "Γιώργος Δημήτρης Κώστας Νίκος Γιάννης Παναγιώτης Σπύρος Ανδρέας",
-}
-#: Forms of address; they stay, so the gender that they tell stays.
-TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Dr", "Prof")
+from panelnet.llm.common import batch_of, discard, release, rows_of, slices, stored
+from panelnet.llm.entities import GROUP, NAMES, PARTICLES, POOLS, find, luhn
+from panelnet.llm.permutations import Place, low, moved, same_format
+
+__all__ = ["NAMES", "anonymous", "check_collisions", "checked", "luhn", "replace", "replaced", "surrogate", "surrogates"]
+
 #: Letters that are exchanged for one another, by script and kind.
 ALPHABETS = (
     "aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáãåæèéêëìíîïòóôöõøœùúûü", "çñßýÿšžčćđł",
-    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ",
+    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουωάέήίόύώ", "βγδζθκλμνξπρστφχψ",
+    "伟芳娜敏静丽强磊军洋勇艳杰娟涛明超秀霞平刚桂英华玉兰红梅建国文辉力志鹏飞波斌宇浩凯健俊帆雪琳晨辰宁欣怡佳",
 )
-_POOL = {n: (k, names.split().index(n)) for k, names in NAMES.items() for n in names.split()}
-_LETTER = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
+#: First and last letters of scripts whose letters are exchanged among themselves.
+RANGES = (("א", "ת"), ("ء", "غ"), ("ف", "ي"), ("क", "ह"), ("ก", "ฮ"), ("ぁ", "ん"), ("ァ", "ン"), ("가", "힣"), ("一", "龥"))
+#: Networks of IPv4 whose addresses stay inside, as (first address, bits of the network).
+NETWORKS = (("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("127.0.0.0", 8), ("169.254.0.0", 16), ("100.64.0.0", 10), ("192.0.2.0", 24), ("198.51.100.0", 24), ("203.0.113.0", 24), ("0.0.0.0", 8), ("224.0.0.0", 3))
 _DIGITS = "0123456789"
-_name = r"[^\W\d_]+(?:[-'][^\W\d_]+)*"
-_PATTERN = re.compile(
-    r"(?P<email>[\w%+-]+(?:\.[\w%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{16,})"
-    r"|(?P<hex>\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b)"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\w))"
-    r"|(?P<phone>(?<!\w)(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![\w-]))"
-    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9-]))"
-    rf"|\b(?P<title>{'|'.join(TITLES)})\b\.? +(?P<titled>(?!(?:{'|'.join(TITLES)})\b){_name}(?: {_name})?)"
-    rf"|\b(?P<person>(?:{'|'.join(_POOL)}) {_name})"
-)
-_SEP = separators(bytes(c for c in range(128) if not chr(c).isalpha()))
-_CALLS = [*_POOL, *TITLES]
-_MARK = re.compile("[0-9@]|[a-f]{32}|[A-F]{32}")
-_SECRET = re.compile("token|secret|passw|(?:api|access)[_-]?key")
-
-
-def _walk(key: bytes, n: int, x: int, fits: Callable[[int], bool]) -> int:
-    """The image of x under a keyed permutation of 0 .. n-1, walked on to the first image that fits."""
-    a = math.isqrt(n - 1) + 1
-    b = -(-n // a)
-    size, wide = (a.bit_length() + 7) // 8 + 8, (n.bit_length() + 7) // 8 + 1
-    while True:
-        left, right = x % a, x // a
-        for r in range(6):
-            other = right if r % 2 == 0 else left
-            f = int.from_bytes(hashlib.shake_128(key + bytes([r]) + n.to_bytes(wide, "big") + other.to_bytes(wide, "big")).digest(size), "big")
-            if r % 2 == 0:
-                left = (left + f) % a
-            else:
-                right = (right + f) % b
-        x = right * a + left
-        if x < n and fits(x):
-            return x
-
-
-def _like(c: str) -> tuple[str, int] | None:
-    """The alphabet that holds a character, and its place there; None: it stays."""
-    if c in _DIGITS:
-        return _DIGITS, int(c)
-    return _LETTER.get(c.lower())
-
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_HEX = _DIGITS + "abcdef"
+_LETTER = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 
-def same_format(key: bytes, text: str, fits: Callable[[str], bool] = lambda s: True, alphabet: Callable = _like) -> str:
-    """A keyed permutation of the strings that differ from text in its letters and digits only; case stays in place.
 
-    fits has to hold for text itself or the walk may not end.
-    """
-    places = [alphabet(c) for c in text]
-    n, x = 1, 0
-    for p in places:
-        if p:
-            n, x = n * len(p[0]), x * len(p[0]) + p[1]
-
-    def shown(v: int) -> str:
-        out = []
-        for c, p in zip(reversed(text), reversed(places)):
-            if p:
-                v, i = divmod(v, len(p[0]))
-                new = p[0][i]
-                c = new.upper() if c != c.lower() and len(new.upper()) == 1 else new
-            out.append(c)
-        return "".join(reversed(out))
+class _Range:
+    """The letters of a range that no alphabet has, as a sequence."""
 
-    shape = "".join(p[0][0] if p else c for c, p in zip(text, places))
-    return text if n == 1 else shown(_walk(hmac.digest(key, shape.encode(), "sha256"), n, x, lambda v: fits(shown(v))))
+    def __init__(self, first: str, last: str):
+        self.letters = [chr(i) for i in range(ord(first), ord(last) + 1) if chr(i) not in _LETTER]
+        self.place = {c: i for i, c in enumerate(self.letters)}
 
 
-def luhn(text: str) -> bool:
-    total = 0
-    for i, d in enumerate(int(c) for c in reversed(text) if c in _DIGITS):
-        total += d if i % 2 == 0 else sum(divmod(2 * d, 10))
-    return total % 10 == 0
+@lru_cache(len(RANGES))
+def _range(k: int) -> _Range:
+    return _Range(*RANGES[k])
 
 
-def _hex(c: str) -> tuple[str, int] | None:
-    i = "0123456789abcdef".find(c.lower())
-    return ("0123456789abcdef", i) if i >= 0 else None
+def like(c: str) -> Place | None:
+    """The alphabet that holds a letter or digit, and its place there; None: it stays."""
+    if c in _DIGITS:
+        return _DIGITS, int(c)
+    found = _LETTER.get(low(c))
+    if found is None and ord(c) >= 0x590:
+        k = next((k for k, (a, b) in enumerate(RANGES) if a <= c <= b), None)
+        if k is not None and c in _range(k).place:
+            return _range(k).letters, _range(k).place[c]
+    return found
 
 
-def _code(c: str) -> tuple[str, int] | None:
-    for a in (_DIGITS, "abcdefghijklmnopqrstuvwxyz"):
+def _code(c: str) -> Place | None:
+    for a in (_DIGITS, _LETTERS):
         if c.lower() in a:
             return a, a.index(c.lower())
     return None
 
 
-def _private(octets: int) -> bool:
-    return ipaddress.IPv4Address(octets).is_private
+def _code_or_like(c: str) -> Place | None:
+    return _code(c) or like(c)
+
+
+def _hex(c: str) -> Place | None:
+    return _HEX, _HEX.index(c.lower())
+
+
+def _is_hex(text: str) -> bool:
+    return bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", text)) and not text.isdigit()
+
+
+def _address(key: bytes, name: str) -> str:
+    def number(address: str) -> int:
+        return int.from_bytes(bytes(map(int, address.split("."))), "big")
+
+    def network(v: int) -> int | None:
+        return next((k for k, (first, bits) in enumerate(NETWORKS) if v >> (32 - bits) == number(first) >> (32 - bits)), None)
+
+    x = number(name)
+    k = network(x)
+    if k is None:
+        v = moved(key, 1 << 32, x, lambda v: network(v) is None)
+    else:
+        free = 32 - NETWORKS[k][1]
+        inside = (1 << free) - 1
+        v = (x & ~inside) | moved(key + bytes([k]), 1 << free, x & inside)
+    return ".".join(map(str, v.to_bytes(4, "big")))
+
+
+def _digits(key: bytes, digits: str, fits=lambda s: True) -> str:
+    return same_format(key, digits, like, fits)
+
+
+def _phone(key: bytes, name: str) -> str:
+    code, national = name.split(":")
+    key += code.encode()
+    if len(national) == 10 and national[3:6] == "555":
+        d = _digits(key + b":555", national[:3] + national[6:], lambda s: (s[0] == "0") == (national[0] == "0"))
+        return f"{code}:{d[:3]}555{d[3:]}"
+    return f"{code}:" + _digits(key, national, lambda s: (s[:1] == "0") == (national[:1] == "0") and not (len(s) == 10 and s[3:6] == "555"))
+
+
+def _check_digits(country: str, body: str) -> int:
+    return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+
+
+def _iban(key: bytes, name: str) -> str:
+    """The check digits differ from the sound ones by as much as those of the entity."""
+    country, check, body = name[:2], int(name[2:4]), name[4:]
+    new = same_format(key + country.encode(), body, _code)
+    return f"{country}{(_check_digits(country, new) + check - _check_digits(country, body)) % 100:02d}{new}"
 
 
-def surrogate(key: bytes, kind: str, text: str) -> str:
-    """The surrogate of one entity."""
+def _card(key: bytes, name: str) -> str:
+    """The network's first digit stays; the last digit differs from the sound one by as much as that of the entity."""
+    sound = next(d for d in _DIGITS if luhn(name[:-1] + d))
+    new = name[0] + _digits(key + name[0].encode(), name[1:-1])
+    check = next(d for d in _DIGITS if luhn(new + d))
+    return new + str((int(check) + int(name[-1]) - int(sound)) % 10)
+
+
+def _secret(key: bytes, name: str) -> str:
+    """Each piece of hexadecimal stays hexadecimal, each other piece something else."""
+    if all(_is_hex(name[i : i + 96]) for i in range(0, len(name), 96)):
+        return same_format(key + b"hex", name, _hex, _is_hex)
+    if name.isdigit():
+        return _digits(key + b"digits", name)
+    return same_format(key, name, _code, lambda s: not _is_hex(s)) if len(name) <= 96 else same_format(key + b"long", name, _code)
+
+
+def _token(key: bytes, token: str) -> str:
+    return _short_token(key, token) if len(token) <= 64 else _any_token(key, token)
+
+
+def _any_token(key: bytes, token: str) -> str:
+    if token in PARTICLES:
+        return token
+    if token in GROUP:
+        group, at = GROUP[token]
+        return low(POOLS[group][moved(key + " ".join(group).encode(), len(POOLS[group]), at)])
+    if token[0] in GROUP:
+        return _token(key, token[0]) + same_format(key + b"signs", token[1:], like)
+    return same_format(key, token, like, lambda s: s not in GROUP and s not in PARTICLES and s[0] not in GROUP)
+
+
+_short_token = lru_cache(1 << 14)(_any_token)
+
+
+def surrogate(key: bytes, kind: str, name: str) -> str:
+    """The normal form of the surrogate of the entity with this kind and normal form."""
     key = hmac.digest(key, kind.encode(), "sha256")
     if kind == "email":
-        local, _, domain = text.rpartition("@")
+        local, _, domain = name.rpartition("@")
         labels = domain.split(".")
-        keep = 2 if len(labels) > 2 and labels[-2].lower() == "example" or len(labels) == 2 and labels[0].lower() == "example" else 1
-        moved = same_format(key, local + "@" + ".".join(labels[:-keep]), alphabet=lambda c: _code(c) or _like(c))
-        return moved + ("." if labels[:-keep] else "") + ".".join(labels[-keep:])
-    if kind == "ip":
-        x = int(ipaddress.IPv4Address(".".join(str(int(p)) for p in text.split("."))))
-        inside = _private(x)
-        return str(ipaddress.IPv4Address(_walk(key, 1 << 32, x, lambda v: _private(v) == inside)))
-    if kind == "phone":
-        m = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
-        head = m[0] if m else ""
-        middle = re.search(r"(?<![0-9])555(?![0-9])", text[len(head) :])
-        at = len(head) + middle.start() if middle else len(text)
-        moved = same_format(key + head.encode(), text[len(head) : at] + text[at + 3 :])
-        return head + moved[: at - len(head)] + text[at : at + 3] + moved[at - len(head) :]
-    if kind == "card":
-        sound = luhn(text)
-        return same_format(key, text, lambda s: luhn(s) == sound)
-    if kind == "iban":
-        body = same_format(key + text[:2].encode(), text[4:], alphabet=_code)
-        digits = "".join(str(int(c, 36)) for c in body.replace(" ", "") + text[:2] + "00")
-        return f"{text[:2]}{98 - int(digits) % 97:02d}{body}"
-    if kind == "secret":
-        return same_format(key, text, alphabet=_hex if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) else _code)
-    if kind == "ssn":
-        return same_format(key, text)
-    out = []
-    for part in text.split(" "):
-        if part in _POOL:
-            group, at = _POOL[part]
-            names = NAMES[group].split()
-            out.append(names[_walk(key + " ".join(group).encode(), len(names), at, lambda v: True)])
+        keep = 2 if labels[-2] == "example" else 1
+        own = "".join(label + "." for label in labels[:-keep])
+        return same_format(key + bytes([keep]), f"{local}@{own}", _code_or_like) + ".".join(labels[-keep:])
+    if kind == "person":
+        return " ".join(_token(key, t) for t in name.split(" "))
+    return {"ip": _address, "phone": _phone, "iban": _iban, "card": _card, "secret": _secret, "ssn": _digits}[kind](key, name)
+
+
+def _made(key: bytes, kind: str, name: str) -> tuple[str, str, str]:
+    """(surrogate, keyed name of the entity, keyed name of the surrogate)."""
+    new = surrogate(key, kind, name)
+    return new, *(hmac.digest(key, f"{kind}:{x}".encode("utf-8", "surrogatepass"), "sha256").hex()[:16] for x in (name, new))
+
+
+_known = lru_cache(1 << 15)(_made)
+
+
+def written(kind: str, old: str, new: str) -> str:
+    """The normal form `new` in the way that `old` is written: its case, blanks and marks."""
+    if kind in ("ip", "secret"):
+        return new
+    if kind == "person":
+        out = iter(new.split(" "))
+        return re.sub(r"[^\s\xa0]+", lambda m: _cased(m[0], next(out)), old)
+    if kind == "email":
+        return "".join(n.upper() if o != low(o) and len(n.upper()) == 1 else n for o, n in zip(old, new))
+    digits = new.split(":")[-1]
+    keep = sum(c.isalnum() for c in old) - len(digits)
+    out, at = [], 0
+    for c in old:
+        if c.isalnum():
+            out.append(c if at < keep else digits[at - keep])
+            at += 1
         else:
-            out.append(same_format(key, part, lambda s: s not in _POOL))
-    return " ".join(out)
-
-
-def replace(key: bytes, text: str) -> tuple[str, list[tuple[str, str, str]]]:
-    """(the text with surrogates, [(type, the entity's keyed name, surrogate)] in order of appearance)."""
-    found, seen, out, at = [], {}, [], 0
-    for m in _PATTERN.finditer(text):
-        group = m.lastgroup if m.lastgroup != "title" else "titled"
-        entity = m[group]
-        kind = {"hex": "secret", "titled": "person"}.get(group, group)
-        if kind == "ip" and any(int(p) > 255 for p in entity.split(".")):
-            continue
-        if kind == "person" and (entity != entity.upper() and not all(p[0].isupper() for p in entity.split(" "))):
-            first = entity.split(" ")[0]
-            if not first[0].isupper():
-                continue
-            entity = first
-        new = seen.get((kind, entity)) or surrogate(key, kind, entity)
-        seen[kind, entity] = new
-        start = m.start(group)
-        out += [text[at:start], new]
-        at = start + len(entity)
-        found.append((kind, hmac.digest(key, f"{kind}:{entity}".encode(), "sha256").hex()[:16], new))
-    by_new: dict[tuple[str, str], str] = {}
-    for (kind, entity), new in seen.items():
-        if by_new.setdefault((kind, new), entity) != entity:
-            raise ValueError("two entities of a document share a surrogate")
+            out.append(c)
+    return "".join(out)
+
+
+def _cased(old: str, new: str) -> str:
+    if low(old) in GROUP and new in GROUP:
+        group, at = GROUP[new]
+        new = POOLS[group][at]
+        return new.upper() if len(old) > 1 and old.isupper() else new
+    return "".join(n.upper() if o != low(o) and len(n.upper()) == 1 else n for o, n in zip(old, new))
+
+
+def replace(key: bytes, text: str) -> tuple[str, list[tuple[str, str, str, str]]]:
+    """(the text with surrogates, [(type, keyed name of the entity, keyed name of the surrogate, surrogate)] in order)."""
+    found, out, at = [], [], 0
+    for e in find(text):
+        new, entity_key, new_key = (_known if len(e.name) <= 128 else _made)(key, e.kind, e.name)
+        shown = written(e.kind, text[e.start : e.end], new)
+        out += [text[at : e.start], shown]
+        at = e.end
+        found.append((e.kind, entity_key, new_key, shown))
     out.append(text[at:])
     return "".join(out), found
 
 
-def _suspects(texts: list[str]) -> list[bool]:
-    """Whether _PATTERN can match a text at all; never False where it does.
-
-    A match holds an ASCII digit, an at sign, 32 letters of hexadecimal, a word for a secret, or a name of the pool or
-    form of address. In ASCII text the last two end at what _SEP has, and lower() is all that (?i:) does; any
-    other text counts as suspect, as marks and spaces beyond ASCII end words, too.
-    """
-    *_, h, first = hash_words([t.encode() for t in texts], _SEP)
-    calls = np.sort(hash_words([n.encode() for n in _CALLS], _SEP)[3])
-    hit = np.concatenate([[0], np.cumsum(calls[np.minimum(np.searchsorted(calls, h), len(calls) - 1)] == h)])
-    return [bool(not t.isascii() or hit[b] > hit[a] or _MARK.search(t) or _SECRET.search(t.lower())) for t, a, b in zip(texts, first[:-1], first[1:])]
+def replaced(key: bytes, texts: list[str]) -> list[tuple[str, list]]:
+    return [replace(key, t) for t in texts]
 
 
-def replaced(key: bytes, texts: list[str]) -> list[tuple[str, list]]:
-    return [replace(key, t) if s else (t, []) for t, s in zip(texts, _suspects(texts))]
+_COLUMNS = ("types", "entity_keys", "surrogate_keys", "surrogates")
 
 
 def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, text, n_entities, types, entity_keys, surrogates), a row for a row.
+    """docs(doc_id, text, ...) -> (doc_id, text, n_entities, types, entity_keys, surrogate_keys, surrogates), a row for a row.
 
-    text has the surrogates; the arrays list the entities in order of appearance, entity_keys naming them by a
-    keyed hash. A null text stays null and has none. Null and repeated ids and repeated rows are handled row by
-    row; other columns are ignored; an empty table gives an empty result. Texts are read whole.
+    text has the surrogates; the arrays list the entities in order of appearance, the keys naming entity and
+    surrogate by a keyed hash of their normal forms. A null text stays null and has none. Null and repeated ids and
+    repeated rows are handled row by row, equal texts alike; other columns are ignored; an empty table gives an empty
+    result. Texts are read whole, however long, in time in proportion to their length.
     """
     strings = pa.list_(pa.string())
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int64()), ("types", strings), ("entity_keys", strings), ("surrogates", strings)])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int64()), *((c, strings) for c in _COLUMNS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, "doc_id", "text"):
             done = replaced(key, [t or "" for _, t in part])
             texts = [new if old is not None else None for (_, old), (new, _) in zip(part, done)]
-            yield batch_of(schema, [[d for d, _ in part], texts, [len(f) for _, f in done], *([[e[k] for e in f] for _, f in done] for k in range(3))])
+            yield batch_of(schema, [[d for d, _ in part], texts, [len(f) for _, f in done], *([[e[k] for e in f] for _, f in done] for k in range(4))])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, text string, n_entities long, types array<string>, entity_keys array<string>, surrogates array<string>")
+    return docs.mapInArrow(run, "doc_id long, text string, n_entities long, " + ", ".join(f"{c} array<string>" for c in _COLUMNS))
 
 
 def check_collisions(result: DataFrame) -> DataFrame:
-    """Surrogates of a result that stand for more than one entity, and entities with more than one surrogate: none."""
-    e = result.select(F.explode(F.arrays_zip("types", "entity_keys", "surrogates")).alias("e")).select("e.*").distinct()
-    shared = e.groupBy("types", "surrogates").agg(F.count("*").alias("n")).where("n > 1").select("types", F.col("surrogates").alias("what"))
+    """(types, what): surrogates of a result that stand for more than one entity, entities with more than one, or that stayed: none."""
+    e = result.select(F.explode(F.arrays_zip("types", "entity_keys", "surrogate_keys")).alias("e")).select("e.*").distinct()
+    shared = e.groupBy("types", "surrogate_keys").agg(F.count("*").alias("n")).where("n > 1").select("types", F.col("surrogate_keys").alias("what"))
     split = e.groupBy("types", "entity_keys").agg(F.count("*").alias("n")).where("n > 1").select("types", F.col("entity_keys").alias("what"))
-    return shared.unionByName(split)
+    same = e.where("entity_keys = surrogate_keys").select("types", F.col("entity_keys").alias("what"))
+    return shared.unionByName(split).unionByName(same)
+
+
+def checked(docs: DataFrame, key: bytes) -> DataFrame:
+    """surrogates(), written once, with a column n_collisions: how many of a row's entities check_collisions() names.
+
+    The check covers the whole result. It reads the columns of keys alone; only their distinct rows are shuffled.
+    """
+    out = stored(surrogates(docs, key), "surrogates")
+    bad = stored(check_collisions(out).distinct(), "collisions")
+    if bad.isEmpty():
+        discard(bad)
+        return out.withColumn("n_collisions", F.lit(0).cast("long"))
+    out = out.withColumn("_row", F.monotonically_increasing_id())
+    pairs = out.select("_row", F.explode(F.arrays_zip("types", "entity_keys", "surrogate_keys")).alias("e")).select("_row", "e.*")
+    hit = pairs.join(bad, (pairs.types == bad.types) & ((pairs.entity_keys == bad.what) | (pairs.surrogate_keys == bad.what)), "left_semi")
+    n = hit.groupBy("_row").agg(F.count("*").alias("n_collisions"))
+    return out.join(n, "_row", "left").drop("_row").withColumn("n_collisions", F.coalesce("n_collisions", F.lit(0).cast("long")))
 
 
 def anonymous(docs: DataFrame, key: bytes) -> DataFrame:
-    """The rows of docs with surrogates in text; other columns stay, n_chars follows the text where there is one."""
+    """The rows of docs with surrogates in text; other columns stay, n_chars follows the text where there is one.
+
+    A null text stays null, an empty one empty; rows without an id or with a repeated one, and repeated rows, are
+    handled row by row; an empty table gives an empty result. Long texts are taken a few at a time.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             old = batch.column("text").to_pylist()
             new = [t if o is not None else None for o, (t, _) in zip(old, replaced(key, [t or "" for t in old]))]
             columns = {n: batch.column(n) for n in names}
