@@ -182,7 +182,7 @@ _VALUE = re.compile(r"[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{16,})")
 _GAP = re.compile(r"[  ](?![  ])")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _INITIAL = re.compile(r"[^\W\d_]\.")
-_BEFORE = re.compile(r"(?<![^\W_])(?P<word>[^\W\d_]{1,40}(?:[-'’][^\W\d_]{1,40})?)[  ]$")
+_BEFORE = re.compile(r"(?<!\w)(?P<word>[^\W\d_]{1,40}(?:[-'’][^\W\d_]{1,40})?)[  ]$")
 _HAN = re.compile(r"[一-龥]")
 _SIGNS = re.compile(r"[一-龥]{1,4}$|[ァ-ヺ]{2,8}$|[가-힣]{2,4} ?$")
 
