@@ -25,6 +25,7 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
+        self.mark = self._mark()
         self.table = WordTable(bits)
         self.rows = Ragged(np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
 
@@ -35,22 +36,49 @@ class WordIds:
     def full(self) -> bool:
         return self.table.room() < 1 << 18
 
+    def _mark(self) -> tuple[str, int] | None:
+        """A special token that stays whole between two words and has an id of its own; None: words go one by one."""
+        for i, token in self.library.get_added_tokens_decoder().items():
+            plain = token.special and not (token.normalized or token.single_word or token.lstrip or token.rstrip)
+            t = token.content
+            if plain and not any(t.startswith(t[k:]) for k in range(1, len(t))) and self.library.encode(f"a{t}{t}b", add_special_tokens=False).ids.count(i) == 2:
+                return t, i
+        return None
+
+    def _encode(self, words: list[str]) -> None:
+        """Append the ids of words to the rows: many at once with a mark between them, which their ids show again."""
+        if self.mark is None or any(self.mark[0] in w for w in words):
+            self.rows.extend([e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)])
+            return
+        token, number = self.mark
+        for e in self.library.encode_batch_fast([token.join(words[i : i + 64]) for i in range(0, len(words), 64)], add_special_tokens=False):
+            ids = np.array(e.ids, np.int64)
+            at = np.flatnonzero(ids == number)
+            ends = np.append(at, len(ids))
+            self.rows.add(ids[ids != number], np.diff(np.append(-1, ends)) - 1)
+
     def _learn(self, buf: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> None:
         new, at = np.unique(h, return_index=True)
         self.table.reserve(len(new))
         words = [buf[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         self.table.add(new)
         for i in range(0, len(words), 4096):
-            self.rows.extend([e.ids for e in self.library.encode_batch(words[i : i + 4096], add_special_tokens=False)])
+            self._encode(words[i : i + 4096])
 
-    def words(self, texts: list[str | None]) -> list[np.ndarray]:
-        """For each text the numbers of its words; they hold until clear()."""
-        buf, starts, ends, h, first = hash_words([(t or "").encode() for t in texts], _SEP)
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """(numbers of all words, their hashes, for each text the place of its first word and the total, its bytes)."""
+        raw = [(t or "").encode() for t in texts]
+        buf, starts, ends, h, first = hash_words(raw, _SEP)
         number = self.table.find(h)
         new = np.flatnonzero(number < 0)
         if len(new):
             self._learn(buf, starts[new], ends[new], h[new])
             number[new] = self.table.find(h[new])
+        return number, h, first, list(map(len, raw))
+
+    def words(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text the numbers of its words; they hold until clear()."""
+        number, _, first, _ = self.numbers(texts)
         return np.split(number, first[1:-1])
 
     def ids(self, words: np.ndarray, end: int) -> np.ndarray:

@@ -8,7 +8,8 @@ import numpy as np
 import xxhash
 
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
-CHUNK = 1 << 19
+#: Bytes at a time: their arrays stay in a core's cache.
+CHUNK = 1 << 16
 _LONG = 64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(_LONG)], np.uint64)
 
@@ -139,14 +140,18 @@ class Ragged:
         self.at, self.count, self.n = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint32), 0
 
     def extend(self, rows: list) -> None:
-        """Add rows of numbers; positions are 32-bit, far above what a table of words holds."""
+        """Add rows of numbers."""
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        total, n = int(lengths.sum()), len(rows)
+        self.add(np.fromiter((i for r in rows for i in r), self.flat.dtype, int(lengths.sum())), lengths)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Add rows that stand one after another in flat; positions are 32-bit, far above what a table of words holds."""
+        total, n = len(flat), len(lengths)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + n > len(self.at):
             self.at, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.count))
-        self.flat[self.used : self.used + total] = np.fromiter((i for r in rows for i in r), self.flat.dtype, total)
+        self.flat[self.used : self.used + total] = flat
         self.at[self.n : self.n + n] = self.used + np.cumsum(lengths) - lengths
         self.count[self.n : self.n + n] = lengths
         self.used += total
