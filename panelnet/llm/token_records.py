@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelnet.llm.common import as_text, batch_of, in_order, new_path, parts_for, rows_of, stored
-from panelnet.llm.word_tokens import vocabulary_path, word_ids
+from panelnet.llm.word_tokens import id_type, vocabulary_path, word_ids
 
 MASK = 0xA282EAD8
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
@@ -124,14 +124,11 @@ def write_records(docs: DataFrame, vocabulary: str | None = None, end: int = 1)
     id stay, in the order of a hash of their texts. Other columns are ignored. An empty table writes no file.
     Ids take two bytes where the vocabulary allows, else four.
     """
-    from tokenizers import Tokenizer
-
     vocabulary = vocabulary or vocabulary_path()
-    size = max(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), end + 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text"))
     folder = new_path(docs.sparkSession, "records")
     sorted_docs = in_order(docs, parts_for(docs), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    run = _writer(folder, vocabulary, end, 2 if size <= 1 << 16 else 4)
+    run = _writer(folder, vocabulary, end, int(id_type(vocabulary, end)[2]))
     return folder, stored(sorted_docs.mapInArrow(run, _MANIFEST), "manifest")
 
 

@@ -8,6 +8,7 @@ word holds besides goes to the library as it is.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -96,5 +97,13 @@ def word_ids(path: str, bits: int = 21) -> WordIds:
     return _held[path, bits]
 
 
+@lru_cache(8)
+def id_type(path: str, end: int) -> str:
+    """Unsigned integers of two bytes where the vocabulary and the end id allow, else of four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else "<u4"
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
