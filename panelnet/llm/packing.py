@@ -63,15 +63,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = [t.encode() for (t,) in part]
         *_, h, first = hash_words(raw, _SEP)
         doc = np.repeat(np.arange(len(raw), dtype=np.uint64), np.diff(first))
-        held = np.unique((doc << np.uint64(BITS)) | (h >> np.uint64(64 - BITS))) & np.uint64((1 << BITS) - 1)
-        bucket, n = np.unique(held, return_counts=True)
-        counts[bucket] += n.astype(np.uint32)
+        held = np.sort((doc << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)))
+        held = np.sort(held[np.append(True, held[1:] != held[:-1])[: len(held)]] & np.uint64((1 << BITS) - 1))
+        ends = np.append(np.flatnonzero(held[1:] != held[:-1]) + 1, len(held))[: len(held)]
+        counts[held[ends - 1]] += np.diff(ends, prepend=0).astype(np.uint32)
         docs, words, size = docs + len(raw), words + len(h), size + sum(map(len, raw))
-    schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary()), ("docs", pa.int64()), ("words", pa.int64()), ("bytes", pa.int64())])
-    rows = [(-1, b"", docs, words, size)]
-    for s, c in enumerate(np.split(counts, 1 << (BITS - SLICE_BITS))):
-        if c.any():
-            rows.append((s, zlib.compress(c.tobytes(), 1), 0, 0, 0))
+    schema = pa.schema([("slice", pa.int32()), ("places", pa.binary()), ("counts", pa.binary()), ("docs", pa.int64()), ("words", pa.int64()), ("bytes", pa.int64())])
+    rows = [(-1, b"", b"", docs, words, size)]
+    held = np.flatnonzero(counts)
+    cuts = np.searchsorted(held, np.arange((1 << (BITS - SLICE_BITS)) + 1) << SLICE_BITS)
+    places, n = (held & ((1 << SLICE_BITS) - 1)).astype("<u2"), counts[held].astype("<u4")
+    rows += [(s, places[a:b].tobytes(), n[a:b].tobytes(), 0, 0, 0) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
     yield batch_of(schema, list(zip(*rows)))
 
 
@@ -79,12 +81,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
     at, total = None, None
     for batch in batches:
-        for s, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+        for s, places, counts in zip(*(batch.column(c).to_pylist() for c in ("slice", "places", "counts"))):
             if s != at:
                 if at is not None:
                     yield batch_of(schema, [[at], [_coded(total).tobytes()]])
                 at, total = s, np.zeros(1 << SLICE_BITS, np.uint64)
-            total += np.frombuffer(zlib.decompress(counts), np.uint32)
+            total[np.frombuffer(places, "<u2")] += np.frombuffer(counts, "<u4")
     if at is not None:
         yield batch_of(schema, [[at], [_coded(total).tobytes()]])
 
@@ -101,6 +103,8 @@ class Statistics(NamedTuple):
     docs: int
     words: int
     bytes: int
+    #: Twice what a hashed term mostly holds by chance, plus 2: a count below tells nothing of its terms.
+    noise: float
 
     def frequency(self, terms: np.ndarray) -> np.ndarray:
         """Documents that hold a term or another of the same hash."""
@@ -113,25 +117,21 @@ class Statistics(NamedTuple):
     def mean_words(self) -> float:
         return max(self.words / max(self.docs, 1), 1.0)
 
-    def noise(self) -> float:
-        """Twice what a hashed term mostly holds by chance, plus 2: a count below tells nothing of its terms."""
-        return 2 * float(np.exp2(np.median(self.coded) / 1024.0) - 1) + 2
-
     def shards(self) -> int:
         return max(1, -(-self.bytes // SHARD_BYTES), -(-self.docs // SHARD_DOCS))
 
 
 def statistics(docs: DataFrame) -> Statistics:
     """Counts over all rows of docs(text, ...); the driver gets 8 MB of coded counts, whatever the table's size."""
-    counts = stored(docs.select(as_text().alias("text")).mapInArrow(_count, "slice int, counts binary, docs long, words long, bytes long"), "counts")
+    counts = stored(docs.select(as_text().alias("text")).mapInArrow(_count, "slice int, places binary, counts binary, docs long, words long, bytes long"), "counts")
     totals = counts.where("slice < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("docs", "words", "bytes"))).first()
     slices = 1 << (BITS - SLICE_BITS)
-    by_slice = counts.where("slice >= 0").select("slice", "counts").repartition(64, "slice").sortWithinPartitions("slice")
+    by_slice = counts.where("slice >= 0").select("slice", "places", "counts").repartition(16, "slice").sortWithinPartitions("slice")
     coded = np.zeros((slices, 1 << SLICE_BITS), np.uint16)
     for r in by_slice.mapInArrow(_summed, "slice int, counts binary").collect():
         coded[r["slice"]] = np.frombuffer(r["counts"], np.uint16)
     discard(counts)
-    return Statistics(coded.ravel(), *map(int, totals))
+    return Statistics(coded.ravel(), *map(int, totals), 2 * float(np.exp2(np.median(coded) / 1024.0) - 1) + 2)
 
 
 # --- shards by content -----------------------------------------------------------------------------------------
@@ -141,7 +141,7 @@ def keys_of(stats: Statistics, terms: np.ndarray, first: np.ndarray, sizes: list
     """For each text a number of 63 bits, equal for texts that share their rarest terms; hot terms are salted."""
     n = len(first) - 1
     f = stats.frequency(terms)
-    low = stats.noise()
+    low = stats.noise
     octave = np.where(f >= low, np.floor(np.log2(np.maximum(f, low) / low) / 3), 20).astype(np.uint64)
     rank = (octave << np.uint64(58)) | (mix64(terms.astype(np.uint64) + _ONE) >> np.uint64(6))
     key, load = np.zeros(n, np.uint64), np.full(n, float(stats.docs))

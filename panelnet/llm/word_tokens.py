@@ -7,16 +7,37 @@ word holds besides goes to the library as it is.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import public_tokenizers
 
 from panelnet.llm.words import Ragged, WordTable, hash_words, separators
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 VOCABULARY = "word_bpe_49k.json"
 _SEP = separators(b" \n")
+#: A tokenizer that splits words into runs of letters, single digits and runs of other marks, in lower case.
+_PLAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Words that such a tokenizer splits at most once: letters that have one lower case and no other form, then marks.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ĭ", r"!-&(-/:-@\[-`{-~"
+_SIMPLE = re.compile(f"[{_LETTERS}]+[{_MARKS}]*")
+_TAIL = re.compile(f"(?<=[{_LETTERS}])(?=[{_MARKS}])")
 _held: dict[tuple[str, int], WordIds] = {}
 
 
@@ -27,6 +48,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.mark = self._mark()
+        self.plain, self.ends = self._plain(path)
         self.table = WordTable(bits)
         self.rows = Ragged(np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
 
@@ -46,6 +68,30 @@ class WordIds:
                 return t, i
         return None
 
+    def _plain(self, path: str) -> tuple[Tokenizer | None, np.ndarray]:
+        """(the vocabulary behind a split at blanks alone, which ids end a part of a word), if that does for simple words."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        suffix = made["model"].get("end_of_word_suffix")
+        if not suffix or made["model"].get("type") != "BPE" or any(made[k] != v for k, v in _PLAIN.items()):
+            return None, np.zeros(0, bool)
+        vocabulary = made["model"]["vocab"]
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        made.update(normalizer=None, post_processor=None, added_tokens=[])
+        made["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(made)), ends
+
+    def _encode_simple(self, words: list[str]) -> None:
+        """Append the ids of words that _SIMPLE matches; marks behind a word are a part of their own."""
+        texts = [_TAIL.sub(" ", " ".join(words[i : i + 256]).lower()) for i in range(0, len(words), 256)]
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)])
+        tails = np.fromiter((not w[-1].isalpha() for w in words), np.int64, len(words))
+        ends = np.flatnonzero(self.ends[ids])[np.cumsum(1 + tails) - 1]
+        self.rows.add(ids, np.diff(np.append(-1, ends)))
+
     def _encode(self, words: list[str]) -> None:
         """Append the ids of words to the rows: many at once with a mark between them, which their ids show again."""
         if self.mark is None or any(self.mark[0] in w for w in words):
@@ -62,9 +108,12 @@ class WordIds:
         new, at = np.unique(h, return_index=True)
         self.table.reserve(len(new))
         words = [buf[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        self.table.add(new)
-        for i in range(0, len(words), 4096):
-            self._encode(words[i : i + 4096])
+        simple = np.fromiter((self.plain is not None and _SIMPLE.fullmatch(w) is not None for w in words), bool, len(words))
+        for take, encode in ((simple, self._encode_simple), (~simple, self._encode)):
+            some = np.flatnonzero(take)
+            self.table.add(new[some])
+            for i in range(0, len(some), 4096):
+                encode([words[k] for k in some[i : i + 4096].tolist()])
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """(numbers of all words, their hashes, for each text the place of its first word and the total, its bytes)."""
