@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelnet.llm.common import as_text, batch_of, discard, rows_of, stored
+from panelnet.llm.common import as_text, batch_of, discard, release, rows_of, slices, stored
 from panelnet.llm.word_tokens import id_type, vocabulary_path, word_ids
 from panelnet.llm.words import hash_words, mix64, separators
 
@@ -34,9 +34,9 @@ K1, B = 1.2, 0.75
 #: A neighbour goes into a seed's window if it scores at least this share of the seed's best neighbour.
 SHARE = 0.4
 #: About what a shard, and a partition of shards, holds.
-SHARD_BYTES, SHARD_DOCS, PART_BYTES = 4 << 20, 1536, 48 << 20
+SHARD_BYTES, SHARD_DOCS, PART_BYTES = 6 << 20, 2048, 48 << 20
 #: Documents of a shard that are compared at a time: their scores are a matrix in memory.
-MOST_DOCS = 2560
+MOST_DOCS = 3072
 BITS, SLICE_BITS = 22, 12
 #: The tasks that number words sort and shuffle little, so their workers have room for a large table of words.
 TABLE_BITS = 22
@@ -223,7 +223,7 @@ def scores(stats: Statistics, terms: list[np.ndarray], counts: list[np.ndarray],
     df = np.diff(np.append(start, len(term)))
     norm = K1 * (1 - B + B * lengths / stats.mean_words())
     weight = np.repeat(stats.idf(term[start]), df) * tf * (K1 + 1) / (tf + norm[row])
-    many = max(32, n // 16)
+    many = max(32, n // 32)
     common = np.flatnonzero(df > many)
     for at in range(0, len(common), 512):
         some = common[at : at + 512]
@@ -247,7 +247,7 @@ def scores(stats: Statistics, terms: list[np.ndarray], counts: list[np.ndarray],
         held += 2 * len(a)
         step += 1
         here = here[left[here] >= step]
-        if held > 1 << 22 or not len(here):
+        if held > max(1 << 20, n * n // 2) or not len(here):
             flat += np.bincount(np.concatenate(pairs), np.concatenate(values), n * n).astype(np.float32)
             pairs, values, held = [], [], 0
     np.fill_diagonal(out, -1)
@@ -344,7 +344,7 @@ def _packed(shared, width: str, window: int):
         def full() -> bool:
             return len(held) >= MOST_DOCS or size >= SHARD_BYTES
 
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             columns = [batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids", "terms", "counts", "n_words")]
             for shard, doc_id, ids, terms, counts, words in zip(*columns):
                 if shard != at or full():
@@ -362,6 +362,7 @@ def _packed(shared, width: str, window: int):
             packer.pack(held, stats)
             packer.finish()
             yield packer.taken()
+        release()
 
     return run
 

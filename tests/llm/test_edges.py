@@ -91,7 +91,8 @@ def test_defined_results(spark, docs):
 
 
 def test_packing_covers_everything(spark, docs):
-    got = packing.pack(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))).collect()
+    got = packing.pack(docs).collect()
+    assert {r.doc_id for r in got} == {d for d, _ in ROWS} and sum(r.start == 0 for r in got) == len(ROWS)
     total = sum(r.length for r in got)
     seqs = {}
     for r in got:

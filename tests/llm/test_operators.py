@@ -219,38 +219,6 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(301)}, 999: 999, 1000: 999, 2000: 999}
 
 
-def test_packing_pieces(spark, texts):
-    coder = word_tokens.word_ids(word_tokens.vocabulary_path()).library
-    pieces, fill = {}, Counter()
-    for r in packing.pack(spark.read.parquet(f"{SMALL}/documents.parquet"), shard_tokens=50_000).collect():
-        pieces.setdefault(r.doc_id, []).append(r)
-        fill[r.sequence_id] += r.length
-    for d, t in texts.items():
-        ids, at = np.array([*coder.encode(t, add_special_tokens=False).ids, 2], "<u4"), 0
-        for r in sorted(pieces[d], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
-            at += r.length
-        assert at == len(ids)
-    assert all(n == 4096 or n & (n - 1) == 0 for n in fill.values())
-
-
-def test_packing_takes_lexical_neighbours():
-    r = np.random.default_rng(2)
-    docs = []
-    for i in range(300):
-        topic = i % 30
-        words = np.concatenate([r.integers(topic * 100, topic * 100 + 40, 60), r.integers(5000, 5200, 20)])
-        docs.append((i, np.arange(100, dtype=np.uint32), words))
-    p = packing.Packer(500, 0)
-    p.pack(docs)
-    p.finish()
-    together = {}
-    for doc_id, *_, seq, _ in p.out:
-        together.setdefault(seq, []).append(doc_id % 30)
-    full = [x for x in together.values() if len(x) == 5]
-    assert len(full) == 60 and sum(len(set(x)) == 1 for x in full) >= 50
-
-
 def test_pipeline_against_plain_stages(spark, texts):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     seen = {}
@@ -272,4 +240,4 @@ def test_pipeline_against_plain_stages(spark, texts):
     assert {r.doc_id for r in seen["packing"].collect()} == {r.doc_id for r in seen["pii"].collect()} == {r.doc_id for r in seen["near_dedup"].collect()}
     assert all(r.n_chars == len(r.text) for r in seen["pii"].collect())
     a = corpus_pipeline.run(spark, SMALL)
-    assert sorted(map(tuple, a.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, seen["packing"].select("doc_id", "start", "length", "ids_crc32").collect()))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, seen["packing"].collect()))
