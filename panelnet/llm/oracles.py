@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from panelnet.llm import licenses
 from panelnet.llm.quality_rules import STOP_WORDS, THRESHOLDS
 
@@ -47,26 +49,37 @@ FROM d JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP B
 
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _steps(c: str, steps) -> str:
+    for pattern, new in steps:
+        c = f"regexp_replace({c}, {_text(pattern)}, {_text(re.sub(r'[$]([0-9])', chr(92) + chr(92) + '1', new))}, 'g')"
+    return c
+
+
 def _licenses() -> str:
-    known = ", ".join(f"('{name}', '{text}')" for name, text in licenses.SENTENCES)
-    some = " OR ".join(f"contains(lower(t), '{x}')" for x in licenses.TRIGGERS)
-    steps = "r0 AS (SELECT *, '|' || array_to_string(ids, '|') || '|' AS line, '' AS found FROM i)"
-    for k, (name, rule) in enumerate(licenses.ORDERED):
-        run = "|" + "|".join(rule) + "|"
-        line = f"replace(line, '{run}', '||')" if len(rule) > 1 else "line"
-        steps += f",\nr{k + 1} AS (SELECT * EXCLUDE (line, found), {line} AS line, found || CASE WHEN contains(line, '{run}') THEN '{name}' || chr(10) ELSE '' END AS found FROM r{k})"
+    """Each rule is laid at each place of a sequence; from the first match on, each one names the next that it leaves free."""
+    known = ", ".join(f"({_text(s)}, {_text(i)})" for s, i in licenses.KNOWN.items())
+    rules = ", ".join(f"([{', '.join(map(_text, rule))}], {_text(name)})" for rule, name in licenses.RULES.items())
+    some = " OR ".join(f"contains(lower(coalesce(text, '')), {_text(x)})" for x in licenses.TRIGGERS)
+    cut = f"list_filter(list_transform(string_split({_steps('x', licenses.STEPS_ENDS)}, chr(1)), lambda s : {_steps('lower(s)', licenses.STEPS_SENTENCE)}), lambda s : s <> '')"
     return f"""
-WITH k(id, s) AS (VALUES {known}), m AS (SELECT map(list(s), list(id)) AS m FROM k),
-d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-p AS (SELECT doc_id, CASE WHEN {some} THEN list_filter(list_transform(
-    string_split(regexp_replace(regexp_replace(t, '{licenses.TAG}', '\\1', 'g'), '{licenses.SPLIT}', '\\1' || chr(10), 'g'), chr(10)),
-    lambda s : trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s : s <> '') ELSE [] END AS p FROM d),
-i AS (SELECT doc_id, list_transform(p, lambda s : coalesce(m[s], '')) AS ids FROM p, m),
-{steps}
-SELECT doc_id, array_to_string(list_filter(ids, lambda x : x <> ''), ',') AS sentence_ids,
-  len(list_filter(ids, lambda x : x <> ''))::BIGINT AS n_sentences,
-  array_to_string(list_sort(list_distinct(list_filter(string_split(found, chr(10)), lambda x : x <> ''))), ',') AS licenses
-FROM r{len(licenses.ORDERED)}
+WITH RECURSIVE k(s, id) AS (VALUES {known}), m AS MATERIALIZED (SELECT map(list(s), list(id)) AS m FROM k), rules(run, name) AS (VALUES {rules}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, CASE WHEN {some} THEN {_steps("chr(10) || text || chr(10)", licenses.STEPS_TAGS)} END AS t FROM documents),
+forms AS (SELECT r, 'j' AS form, {_steps("t", licenses.STEPS_JOINED)} AS x FROM docs WHERE t IS NOT NULL
+  UNION ALL SELECT r, 'l', {_steps("t", licenses.STEPS_LINES)} FROM docs WHERE t IS NOT NULL),
+seqs AS MATERIALIZED (SELECT r, form, list_transform({cut}, lambda s : coalesce(m[s], '')) AS ids FROM forms, m),
+held AS (SELECT r, form, list_filter(ids, lambda i : i <> '') AS ids FROM seqs),
+shown AS (SELECT r, CASE WHEN len(l.ids) > len(j.ids) THEN l.ids ELSE j.ids END AS ids FROM (SELECT * FROM held WHERE form = 'j') j JOIN (SELECT * FROM held WHERE form = 'l') l USING (r)),
+places AS (SELECT r, form, ids, unnest(range(1, len(ids) + 1)) AS i FROM seqs WHERE len(list_filter(ids, lambda i : i <> '')) > 0),
+hits AS (SELECT r, form, i, max(len(run)) AS n, arg_max(name, len(run)) AS name FROM places JOIN rules ON ids[i] = run[1] AND list_slice(ids, i, i + len(run) - 1) = run GROUP BY r, form, i),
+after AS (SELECT a.r, a.form, a.i, any_value(a.name) AS name, min(b.i) AS next FROM hits a LEFT JOIN hits b ON b.r = a.r AND b.form = a.form AND b.i >= a.i + a.n GROUP BY a.r, a.form, a.i),
+walk AS (SELECT r, form, min(i) AS i FROM hits GROUP BY r, form UNION ALL SELECT w.r, w.form, a.next FROM walk w JOIN after a ON a.r = w.r AND a.form = w.form AND a.i = w.i WHERE a.next IS NOT NULL),
+found AS (SELECT r, list_sort(list(DISTINCT name)) AS names FROM walk JOIN after USING (r, form, i) GROUP BY r)
+SELECT doc_id, coalesce(array_to_string(s.ids, ','), '') AS sentence_ids, coalesce(len(s.ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(f.names, ','), '') AS licenses
+FROM docs LEFT JOIN shown s USING (r) LEFT JOIN found f USING (r)
 """
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelnet.llm import components, cotraining, imatch, licenses, near_dup, packing, queries, quality_rules, surrogates, token_records, toxicity, word_tokens
+from panelnet.llm import components, cotraining, imatch, near_dup, packing, queries, quality_rules, surrogates, token_records, toxicity, word_tokens
 from panelnet.llm.ftrl import Ftrl, margin
 
 SMALL, MID, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -65,26 +65,6 @@ def test_near_copies_are_liker_than_strangers(spark):
     assert np.mean(near) > 0.8 and np.mean(far) < 0.1
 
 
-def test_licenses(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
-    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
-    source = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
-    rows = [
-        (1, mit, "MIT"), (2, "Some text. Licensed under the Apache License, Version 2.0. More.", "Apache-2.0"),
-        (3, bsd.format(source), "BSD-2-Clause"), (4, bsd.format("") + source, ""), (5, "The licence of the MIT permission is nice.", ""),
-        (6, mit + "\nLicensed under CC BY-NC 4.0.\n" + bsd.format(source), "BSD-2-Clause,CC-BY-NC-4.0,MIT"), (7, "SPDX-License-Identifier: MIT", "MIT"), (8, mit.replace("The above copyright", "Another. The above copyright"), ""),
-    ]
-    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
-    assert got == {d: x for d, _, x in rows}
-
-
-def test_license_sql(spark, texts):
-    lines = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
-    want = dict(zip(lines, ("GPL-3.0", "CC-BY-NC-4.0", "MIT", "Apache-2.0")))
-    for r in queries.op3_license_sentences(spark, MID).join(spark.read.parquet(f"{MID}/documents.parquet"), "doc_id").collect():
-        assert r.licenses == ",".join(sorted({want[x] for x in lines if x in r.text}))
-
-
 def _accuracy(spark, got, column, at=MID):
     marks = {r.doc_id: r[column] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
     return [(marks[r.doc_id], r) for r in got.collect() if r.doc_id in marks]
