@@ -3,61 +3,22 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+from panelnet.operators.settle import discard, new_path, remove, shared_dir, stored
+
+__all__ = ["as_text", "batch_of", "discard", "in_order", "new_path", "parts_for", "release", "remove", "rows_of", "shared_dir", "slices", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where it is unset a temporary folder serves, in local mode only: on a cluster executors
-    would not see each other's files there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="panelnet-"))
-    return _own_dir[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/panelnet/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: what follows does not depend on executors that made it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path  # noqa: SLF001
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by stored() that nothing will read again."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def as_text(c: str = "text"):
     """The text, empty where it is null."""
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -111,7 +72,7 @@ def in_order(df: DataFrame, parts: int, *keys) -> DataFrame:
     return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
 
-def parts_for(df: DataFrame, size: Callable | None = None, bytes_each: int = 32 << 20, text: str = "text") -> int:
-    """Partitions of about bytes_each bytes of text, from one aggregate over all rows."""
+def parts_for(df: DataFrame, bytes_each: int = 32 << 20, most: int = 1 << 15, text: str = "text") -> int:
+    """Partitions of about bytes_each bytes of text, at most `most` (larger ones then), from one aggregate over all rows."""
     total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(1, -(-int(total) // bytes_each))
+    return min(most, max(1, -(-int(total) // bytes_each)))

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelnet.llm import components, cotraining, imatch, near_dup, packing, queries, quality_rules, surrogates, token_records, toxicity, word_tokens
+from panelnet.llm import cotraining, imatch, near_dup, packing, queries, quality_rules, surrogates, token_records, toxicity, word_tokens
 from panelnet.llm.ftrl import Ftrl, margin
 
 SMALL, MID, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -193,10 +193,23 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == _brute(docs, 3, 85)
 
 
-def test_components_of_chains(spark):
-    edges = [(i, i + 1) for i in range(300)] + [(1000, 999), (5, 5), (None, 3), (2000, 1000), (1000, 999)]
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(301)}, 999: 999, 1000: 999, 2000: 999}
+def test_stars_leave_nothing_open(spark, monkeypatch):
+    """A large group around one hub, sets that are near a member but not the hub, and small groups, with tiny blocks and stars."""
+    r = random.Random(21)
+    base = [f"w{r.randrange(700)}" for _ in range(200)]
+    docs = {}
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.choice([0, 2, 4, 6, 20, 40])):
+            w[r.randrange(200)] = f"n{r.randrange(99999)}"
+        docs[i] = " ".join(w)
+    for i in range(200, 260):
+        docs[i] = " ".join([f"g{i // 3}x{k}" for k in range(80 + i % 3)])
+    for name, value in (("BLOCK_SETS", 12), ("STAR_SETS", 9), ("BLOCK_SHINGLES", 5000)):
+        monkeypatch.setattr(near_dup, name, value)
+    for width, percent in ((3, 85), (5, 80)):
+        got = near_dup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5), width, percent).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == _brute(docs, width, percent)
 
 
 def test_pipeline_against_plain_stages(spark, texts):
