@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: At most so many keys are joined apart from the others, by broadcast; a key is one only if it has more than an even share.
-HOT_KEYS, HOT_ROWS = 1 << 16, 4096
+HOT_KEYS, HOT_ROWS = 1 << 16, 512
 _own_dir: list[str] = []
 
 
