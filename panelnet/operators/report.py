@@ -130,26 +130,34 @@ def labels_wide(labels: DataFrame, months: int) -> DataFrame:
     return wide.withColumnsRenamed({str(i): f"m{i}" for i in range(months)})
 
 
-def permutation_test(edges: DataFrame, labels: DataFrame, n: int = 200, seed: int = 1) -> DataFrame:
+def permutation_test(edges: DataFrame, labels: DataFrame, n: int = 1000, seed: int = 1) -> DataFrame:
     """One row (observed, null_mean, z, p) of the share of edges within a label against n permutations of the labels.
 
-    A permutation pairs the nodes in order of id with the labels in order of a hash of (seed, permutation, node).
+    A permutation pairs the nodes in the order of one hash of (permutation, node) with the labels in that of another.
+    Both orders are numbered within a permutation; no order runs over all nodes of all permutations.
     """
-    nodes = labels.select("node_id", "label", F.row_number().over(W.orderBy("node_id")).alias("_i"))
-    perms = nodes.select("node_id", "label", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("p"))
-    w = W.partitionBy("p").orderBy(F.when(F.col("p") > 0, F.xxhash64(F.lit(seed), "p", "node_id")).otherwise(F.col("node_id")))
-    shuffled = perms.select("p", "label", F.row_number().over(w).alias("_i")).join(nodes.select("_i", "node_id"), "_i")
-    shuffled = settled(shuffled)
-    a, b = (shuffled.select("p", F.col("node_id").alias(e), F.col("label").alias("l" + e)) for e in ("src", "dst"))
-    share = edges.select("src", "dst").join(a, "src").join(b, ["p", "dst"]).groupBy("p").agg(F.avg((F.col("lsrc") == F.col("ldst")).cast("double")).alias("s"))
-    obs = share.where("p = 0").select(F.col("s").alias("observed"))
-    null = share.where("p > 0").join(obs)
-    return null.groupBy("observed").agg(
+    nodes = settled(labels.select("node_id", "label"))
+    perms = nodes.select("node_id", "label", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("p"))
+    h = lambda k: F.xxhash64(F.lit(seed + k), "p", "node_id")
+    w = W.partitionBy("p")
+    placed = perms.select("p", "node_id", "label", F.row_number().over(w.orderBy(h(0), "node_id")).alias("i"), F.row_number().over(w.orderBy(h(1000), "node_id")).alias("j"))
+    placed = settled(placed)
+    given = placed.select("p", "i", "node_id").join(placed.select("p", F.col("j").alias("i"), "label"), ["p", "i"])
+    lists = given.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "label"))), lambda x: x["label"]).alias("ls"))
+    lists = settled(lists.join(nodes, "node_id"))
+    a, b = (lists.select(F.col("node_id").alias(e), F.col("ls").alias("ls" + e), F.col("label").alias("l" + e)) for e in ("src", "dst"))
+    same = F.zip_with("lssrc", "lsdst", lambda x, y: (x == y).cast("int"))
+    hit = edges.select("src", "dst").join(a, "src").join(b, "dst").select((F.col("lsrc") == F.col("ldst")).cast("int").alias("o"), F.posexplode(same).alias("p", "s"))
+    share = hit.groupBy("p").agg(F.avg("s").alias("s"), F.avg("o").alias("observed"))
+    return share.groupBy("observed").agg(
         F.avg("s").alias("null_mean"), F.try_divide(F.first("observed") - F.avg("s"), F.nullif(F.stddev_pop("s"), F.lit(0.0))).alias("z"),
         ((F.sum((F.col("s") >= F.col("observed")).cast("int")) + 1) / (n + 1)).alias("p"),
     )
 
 
 def subsample(nodes: DataFrame, share: float, seed: int) -> DataFrame:
-    """About a share of nodes: those with a small hash of (seed, node_id)."""
-    return nodes.where(F.pmod(F.xxhash64(F.lit(seed), "node_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    """round(share * n) nodes: those of the least hash of (seed, node_id), ties by id."""
+    n = nodes.count()
+    order = [F.xxhash64(F.lit(seed), "node_id"), F.col("node_id")]
+    last = nodes.select(order[0].alias("h"), "node_id").orderBy("h", "node_id").limit(round(share * n))
+    return nodes.join(last.select("node_id"), "node_id", "left_semi")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelnet.config import Config
-from panelnet.operators import cluster, graph, indices, labels, panel, report, scaling
+from panelnet.operators import cluster, graph, indices, jobs, labels, panel, report, scaling
 from panelnet.operators.settle import settled
 from panelnet.plans import testbed as tb
 
 RULES = ("attr", "cosine", "corr", "lagcorr", "dtw", "geo", "hybrid")
-METHODS = ("kmeans", "ward", "spectral", "leiden", "agc")
+METHODS = jobs.METHODS
 SEASON = ["amplitude", "summer"]
 STRUCTURE = ["clr_" + c for c in tb.ALL]
 COLUMNS = ["level", *STRUCTURE, *SEASON]
@@ -59,21 +59,30 @@ def month_graph(spark: SparkSession, d: str, cfg: Config, x: DataFrame, rule: st
     return graph.self_tuning(s, cfg.knn, cfg.self_tuning_neighbor, graph.dtw(cfg.dtw_window))
 
 
+def _grid(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of a run's jobs, from its parameters."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def month_jobs(x: DataFrame, edges: DataFrame, methods: tuple[str, ...], k: int) -> tuple[DataFrame, DataFrame]:
+    """Points and edges of a job for each method and month, named "method:t"."""
+    rows = _grid(x.sparkSession, [(m, k) for m in methods], "method string, k int")
+    job = F.concat_ws(":", "method", "t").alias("job")
+    return x.crossJoin(rows).select(job, "method", "k", "t", "node_id", "x"), edges.crossJoin(rows).select(job, "src", "dst", "w")
+
+
+def by_month(labels_: DataFrame) -> DataFrame:
+    """(method, t, node_id, label) of jobs named "method:t"."""
+    part = F.split("job", ":")
+    return labels_.select(part[0].alias("method"), part[1].cast("int").alias("t"), "node_id", "label")
+
+
 def static_labels(method: str, points: DataFrame, edges: DataFrame, k: int, cfg: Config) -> DataFrame:
-    """(node_id, t, label) of one month by one method; an unknown method is an error."""
-    t = points.first()["t"]
-    one = points.select("node_id", "x")
-    if method == "kmeans":
-        return cluster.kmeans(one, k, cfg.seed, 2).withColumn("t", F.lit(t))
-    if method == "ward":
-        return cluster.ward(points, k)
-    if method == "spectral":
-        return cluster.spectral(edges, k)
-    if method == "leiden":
-        return cluster.leiden(edges, k, cfg.seed, 2)
-    if method == "agc":
-        return cluster.agc(one, edges, k, cfg.agc_power, cfg.seed).withColumn("t", F.lit(t))
-    raise ValueError(f"unknown method {method!r}; known are {', '.join(METHODS)}")
+    """(node_id, t, label) of months by one method; an unknown method is an error."""
+    if method not in jobs.METHODS:
+        raise ValueError(f"unknown method {method!r}; known are {', '.join(jobs.METHODS)}")
+    p, e = month_jobs(points, edges, (method,), k)
+    return by_month(jobs.labelled(p, e, cfg.seed, cfg.agc_power, cfg.least_size, cfg.starts)).select("node_id", "t", "label")
 
 
 def score(points: DataFrame, edges: DataFrame, lab: DataFrame) -> DataFrame:
@@ -85,81 +94,127 @@ def score(points: DataFrame, edges: DataFrame, lab: DataFrame) -> DataFrame:
     return row.join(several, how="right").select(*[F.when(F.col("_ok"), F.col(c)).alias(c) for c in row.columns])
 
 
-def stability(points: DataFrame, edges: DataFrame, base: DataFrame, method: str, k: int, cfg: Config) -> list[float]:
-    """ARI with the labels of subsamples, one for each of cfg.subsamples seeds."""
-    out = []
-    for i in range(cfg.subsamples):
-        some = report.subsample(points, cfg.subsample_share, cfg.seed + i + 1)
-        sub = static_labels(method, some, graph.induced(edges, some.select("node_id")), k, cfg)
-        pairs = sub.select("node_id", F.col("label").alias("a")).join(base.select("node_id", F.col("label").alias("b")), "node_id")
-        out.append(indices.agreement(pairs.select("a", "b")).first()["ari"])
-    return out
+def _subsampled(points: DataFrame, edges: DataFrame, base: DataFrame, grid: list[tuple], cfg: Config) -> DataFrame:
+    """(method, k, stability, stability_sd): ARI of labels with those of subsamples, for jobs (method, k) of one month.
 
+    points and edges are those of the month, base has (method, k, node_id, label).
+    """
+    spark = points.sparkSession
+    tries = [(m, k, i, f"{m}:{k}:{i}") for m, k in grid for i in range(cfg.subsamples)]
+    rows = _grid(spark, tries, "method string, k int, i int, job string")
+    some = settled(reduce(DataFrame.unionByName, [report.subsample(points, cfg.subsample_share, cfg.seed + i + 1).select("node_id", "x", F.lit(i).alias("i")) for i in range(cfg.subsamples)]))
+    lab = jobs.labelled(some.join(rows, "i"), edges.crossJoin(rows), cfg.seed, cfg.agc_power, cfg.least_size, cfg.starts)
+    part = F.split("job", ":")
+    lab = lab.select(part[0].alias("method"), part[1].cast("int").alias("k"), part[2].cast("int").alias("i"), "node_id", F.col("label").alias("a"))
+    pairs = settled(lab.join(base.withColumnRenamed("label", "b"), ["method", "k", "node_id"]))
+    ari = indices.agreement(pairs.select("method", "k", "i", "a", "b"), ["method", "k", "i"])
+    return ari.groupBy("method", "k").agg(F.avg("ari").alias("stability"), F.stddev_pop("ari").alias("stability_sd"))
 
-def choose_k(spark: SparkSession, d: str, cfg: Config, methods: tuple[str, ...] = ("kmeans", "spectral")) -> DataFrame:
-    """(k, method, indices.., stability, stability_sd) for the reference month."""
+
+def choose_k(spark: SparkSession, d: str, cfg: Config, methods: tuple[str, ...] = ("kmeans", "agc", "spectral")) -> DataFrame:
+    """(k, method, indices.., stability, stability_sd) for the reference month, over cfg.k_range and all methods."""
     x = features(spark, d, cfg)
     points, edges = settled(x.where(F.col("t") == cfg.reference_month)), settled(month_graph(spark, d, cfg, x, "attr", cfg.reference_month))
-    rows = []
-    for k in range(cfg.k_range[0], cfg.k_range[1] + 1):
-        for m in methods:
-            base = settled(static_labels(m, points, edges, k, cfg))
-            aris = stability(points, edges, base, m, k, cfg)
-            mean = sum(aris) / len(aris)
-            sd = (sum((a - mean) ** 2 for a in aris) / len(aris)) ** 0.5
-            rows.append(score(points, edges, base).select(F.lit(k).alias("k"), F.lit(m).alias("method"), "*", F.lit(mean).alias("stability"), F.lit(sd).alias("stability_sd")))
-    return reduce(DataFrame.unionByName, rows)
-
-
-def compare_rules(spark: SparkSession, d: str, cfg: Config, rules: tuple[str, ...] = RULES, method: str = "spectral") -> DataFrame:
-    """(rule, edges, mean_degree, .., indices) of the reference month."""
-    x = features(spark, d, cfg)
-    points = settled(x.where(F.col("t") == cfg.reference_month))
-    nodes = points.select("node_id").join(tb.regions(spark, d), "node_id")
-    rows = []
-    for rule in rules:
-        edges = settled(month_graph(spark, d, cfg, x, rule, cfg.reference_month))
-        lab = static_labels(method, points, edges, cfg.k, cfg)
-        rows.append(graph.graph_stats(edges, nodes).join(score(points, edges, lab)).withColumn("rule", F.lit(rule)))
-    return reduce(DataFrame.unionByName, rows)
+    grid = [(m, k) for m in methods for k in range(cfg.k_range[0], cfg.k_range[1] + 1)]
+    rows = _grid(spark, [(m, k, f"{m}:{k}") for m, k in grid], "method string, k int, job string")
+    p, e = points.crossJoin(rows), edges.crossJoin(rows)
+    lab = settled(jobs.labelled(p, e, cfg.seed, cfg.agc_power, cfg.least_size, cfg.starts))
+    base = lab.join(rows, "job").select("method", "k", "node_id", "label")
+    return jobs.scored(p, e, lab).join(rows, "job").drop("job").join(_subsampled(points, edges, base, grid, cfg), ["method", "k"])
 
 
-def compare_methods(spark: SparkSession, d: str, cfg: Config, months: int = 3, methods: tuple[str, ...] = METHODS) -> DataFrame:
-    """(method, mean indices, temporal metrics, rank) over the first months, labels matched in time."""
+def _rule_runs(spark: SparkSession, d: str, cfg: Config, rules: tuple[str, ...], methods: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(points, edges with their rule, jobs (rule, method, job), labels of all jobs) of the reference month."""
+    x = features(spark, d, cfg)
+    points = settled(x.where(F.col("t") == cfg.reference_month))
+    each = [month_graph(spark, d, cfg, x, rule, cfg.reference_month).select(F.lit(rule).alias("rule"), "t", "src", "dst", "w") for rule in rules]
+    edges = settled(reduce(DataFrame.unionByName, each))
+    rows = _grid(spark, [(r, m, cfg.k, f"{r}:{m}") for r in rules for m in methods], "rule string, method string, k int, job string")
+    lab = settled(jobs.labelled(points.crossJoin(rows), edges.join(rows, "rule"), cfg.seed, cfg.agc_power, cfg.least_size, cfg.starts))
+    return points, edges, rows, lab
+
+
+def compare_rules(spark: SparkSession, d: str, cfg: Config, rules: tuple[str, ...] = RULES, methods: tuple[str, ...] = ("spectral", "leiden", "agc")) -> DataFrame:
+    """(rule, method, edges, mean_degree, .., indices, indices of the graph part on the attribute graph as avi_attr ..)."""
+    points, edges, rows, lab = _rule_runs(spark, d, cfg, rules, methods)
+    nodes = settled(points.select("node_id").join(tb.regions(spark, d), "node_id"))
+    stats = reduce(DataFrame.unionByName, [graph.graph_stats(edges.where(F.col("rule") == r), nodes).withColumn("rule", F.lit(r)) for r in rules])
+    p = points.crossJoin(rows)
+    own = jobs.scored(p, edges.join(rows, "rule"), lab)
+    attr = month_graph(spark, d, cfg, points, "attr", cfg.reference_month) if "attr" not in rules else edges.where("rule = 'attr'")
+    on_attr = jobs.scored(p, attr.select("src", "dst", "w").crossJoin(rows), lab)
+    on_attr = on_attr.select("job", *[F.col(c).alias(f"{c}_attr") for c in ("avi", "avu", "mq", "q")])
+    return own.join(on_attr, "job").join(rows, "job").join(stats, "rule").drop("job", "k")
+
+
+def rules_agreement(spark: SparkSession, d: str, cfg: Config, rules: tuple[str, ...] = RULES, method: str = "agc") -> DataFrame:
+    """(rule_a, rule_b, ari): agreement of the partitions that one method finds on the graphs of two rules."""
+    _, _, rows, lab = _rule_runs(spark, d, cfg, rules, (method,))
+    lab = lab.join(rows, "job").select("rule", "node_id", "label")
+    a, b = (lab.select(F.col("rule").alias(f"rule_{e}"), "node_id", F.col("label").alias(e)) for e in ("a", "b"))
+    return indices.agreement(a.join(b, "node_id").select("rule_a", "rule_b", "a", "b"), ["rule_a", "rule_b"]).select("rule_a", "rule_b", "ari")
+
+
+def compare_methods(spark: SparkSession, d: str, cfg: Config, months: int = tb.MONTHS, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """(method, mean indices, temporal metrics, bootstrap_ari, rank) over the months, labels matched in time.
+
+    Evolutionary methods have the bootstrap ARI of the static ones that they go on from; temporal Leiden has none.
+    """
     x = settled(features(spark, d, cfg).where(F.col("t") < months))
     edges = settled(graph.self_tuning(x, cfg.knn, cfg.self_tuning_neighbor))
-    found = {}
-    for m in methods:
-        each = [static_labels(m, x.where(F.col("t") == t), edges.where(F.col("t") == t), cfg.k, cfg).select("node_id", F.col("t").cast("int").alias("t"), "label") for t in range(months)]
-        found[m] = labels.match_in_time(reduce(DataFrame.unionByName, each))
-    found["spectral_evolutionary"] = cluster.evolutionary_spectral(edges, cfg.k, cfg.evolution_alpha, months)
-    rows = []
-    for m, lab in found.items():
-        lab = settled(lab)
-        per = [score(x.where(F.col("t") == t), edges.where(F.col("t") == t), lab.where(F.col("t") == t)) for t in range(months)]
-        mean = reduce(DataFrame.unionByName, per)
-        mean = mean.agg(*[F.avg(c).alias(c) for c in mean.columns])
-        rows.append(mean.join(labels.temporal_metrics(lab)).withColumn("method", F.lit(m)))
-    table = settled(reduce(DataFrame.unionByName, rows))
+    lab = settled(by_month(jobs.labelled(*month_jobs(x, edges, methods, cfg.k), cfg.seed, cfg.agc_power, cfg.least_size, cfg.starts)))
+    found = {m: labels.match_in_time(lab.where(F.col("method") == m).select("node_id", "t", "label")) for m in methods}
+    kept = settled(graph.memory(edges, months, cfg.evolution_alpha))
+    for m in ("spectral", "agc"):
+        found[f"{m}_evolutionary"] = labels.match_in_time(settled(static_labels(m, x, kept, cfg.k, cfg)))
+    found["kmeans_evolutionary"] = cluster.evolutionary_kmeans(x, cfg.k, cfg.evolution_alpha, months, cfg.seed)
+    found["temporal_leiden"] = cluster.temporal_leiden(edges, 1.0, cfg.leiden_interslice, cfg.seed)
+    every = settled(reduce(DataFrame.unionByName, [f.select(F.lit(m).alias("method"), F.col("t").cast("int").alias("t"), "node_id", F.col("label").cast("int").alias("label")) for m, f in found.items()]))
+    p, e = month_jobs(x, edges, tuple(found), cfg.k)
+    per = by_month_scores(jobs.scored(p, e, every.select(F.concat_ws(":", "method", "t").alias("job"), "node_id", "label")))
+    mean = per.groupBy("method").agg(*[F.avg(c).alias(c) for c in jobs.SCORES])
+    over = reduce(DataFrame.unionByName, [labels.temporal_metrics(every.where(F.col("method") == m)).withColumn("method", F.lit(m)) for m in found])
+    t = min(cfg.reference_month, months - 1)
+    base = lab.where(F.col("t") == t).select("method", F.lit(cfg.k).alias("k"), "node_id", "label")
+    boot = _subsampled(x.where(F.col("t") == t), edges.where(F.col("t") == t), base, [(m, cfg.k) for m in methods], cfg).select(F.col("method").alias("of"), F.col("stability").alias("bootstrap_ari"))
+    table = mean.join(over, "method").withColumn("of", F.regexp_replace("method", "_evolutionary$", "")).join(boot, "of", "left").drop("of")
+    table = settled(table)
     better = {"sw": True, "ch": True, "s_dbw": False, "avi": True, "avu": False, "mq": True}
     return table.join(labels.average_rank(table, better), "method")
 
 
-def final_labels(spark: SparkSession, d: str, cfg: Config, months: int = tb.MONTHS) -> DataFrame:
+def by_month_scores(scores: DataFrame) -> DataFrame:
+    part = F.split("job", ":")
+    return scores.select(part[0].alias("method"), part[1].cast("int").alias("t"), *jobs.SCORES)
+
+
+def final_labels(spark: SparkSession, d: str, cfg: Config, months: int = tb.MONTHS, x: DataFrame | None = None) -> DataFrame:
     """The final model: evolutionary spectral clustering of attribute graphs."""
-    x = settled(features(spark, d, cfg).where(F.col("t") < months))
-    return cluster.evolutionary_spectral(settled(graph.self_tuning(x, cfg.knn, cfg.self_tuning_neighbor)), cfg.k, cfg.evolution_alpha, months)
+    x = settled(features(spark, d, cfg)) if x is None else x
+    x = x.where(F.col("t") < months)
+    edges = graph.memory(settled(graph.self_tuning(x, cfg.knn, cfg.self_tuning_neighbor)), months, cfg.evolution_alpha)
+    return labels.match_in_time(static_labels("spectral", x, edges, cfg.k, cfg))
+
+
+def variants(cfg: Config) -> dict[str, Config]:
+    """The final model's parameters, one changed at a time: block weights, neighbours, memory, seed."""
+    out = {f"{b} x {f}": cfg.with_(block_weights={**cfg.block_weights, b: cfg.block_weights[b] * f}) for b in cfg.block_weights for f in (0.0, 0.5, 2.0)}
+    out |= {f"knn {k}": cfg.with_(knn=k) for k in (cfg.knn - 2, cfg.knn + 2)} | {f"self-tuning {r}": cfg.with_(self_tuning_neighbor=r) for r in (cfg.self_tuning_neighbor - 1, cfg.self_tuning_neighbor + 2)}
+    return out | {f"alpha {a}": cfg.with_(evolution_alpha=a) for a in (0.5, 0.9)} | {f"k {k}": cfg.with_(k=k) for k in (cfg.k - 1, cfg.k + 1)}
 
 
-def sensitivity(spark: SparkSession, d: str, cfg: Config, months: int = 3) -> DataFrame:
-    """(variant, ari_panel, switch_rate) of the final model under changed parameters."""
-    variants = {f"{b} x {f}": cfg.with_(block_weights={**cfg.block_weights, b: cfg.block_weights[b] * f}) for b in cfg.block_weights for f in (0.0, 2.0)}
-    variants |= {f"knn {k}": cfg.with_(knn=k) for k in (cfg.knn - 1, cfg.knn + 1)} | {f"alpha {a}": cfg.with_(evolution_alpha=a) for a in (0.5, 0.9)}
+def sensitivity(spark: SparkSession, d: str, cfg: Config, months: int = tb.MONTHS) -> DataFrame:
+    """(variant, ari_panel, ari_ref_month, switch_rate, least_jaccard) of the final model under changed parameters."""
     base = settled(final_labels(spark, d, cfg, months))
-    rows = []
-    for name, c in variants.items():
-        lab = settled(final_labels(spark, d, c, months))
-        pairs = lab.select("node_id", "t", F.col("label").alias("a")).join(base.select("node_id", "t", F.col("label").alias("b")), ["node_id", "t"])
-        moved = labels.steps(lab).agg(F.avg((F.col("a") != F.col("b")).cast("double")).alias("switch_rate"))
-        rows.append(indices.agreement(pairs.select("a", "b")).join(moved).select(F.lit(name).alias("variant"), F.col("ari").alias("ari_panel"), "switch_rate"))
-    return reduce(DataFrame.unionByName, rows)
+    t = min(cfg.reference_month, months - 1)
+    each = [final_labels(spark, d, c, months).select(F.lit(name).alias("variant"), "node_id", "t", "label") for name, c in variants(cfg).items()]
+    lab = settled(reduce(DataFrame.unionByName, each))
+    pairs = settled(lab.withColumnRenamed("label", "a").join(base.withColumnRenamed("label", "b"), ["node_id", "t"]))
+    panel_ = indices.agreement(pairs.select("variant", "a", "b"), ["variant"]).select("variant", F.col("ari").alias("ari_panel"))
+    month = indices.agreement(pairs.where(F.col("t") == t).select("variant", "a", "b"), ["variant"]).select("variant", F.col("ari").alias("ari_ref_month"))
+    after = F.lead("label").over(Window.partitionBy("variant", "node_id").orderBy("t"))
+    moved = lab.withColumn("next", after).where("next is not null").groupBy("variant").agg(F.avg((F.col("label") != F.col("next")).cast("double")).alias("switch_rate"))
+    n = pairs.groupBy("variant", "a", "b").agg(F.count("*").alias("n"))
+    of_a, of_b = n.groupBy("variant", "a").agg(F.sum("n").alias("na")), n.groupBy("variant", "b").agg(F.sum("n").alias("nb"))
+    best = n.join(of_a, ["variant", "a"]).join(of_b, ["variant", "b"]).groupBy("variant", "b").agg(F.max(F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("j"))
+    return panel_.join(month, "variant").join(moved, "variant").join(best.groupBy("variant").agg(F.min("j").alias("least_jaccard")), "variant")

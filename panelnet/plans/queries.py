@@ -240,7 +240,7 @@ def _label_centres(s, d):
 _nl = ", ce AS (SELECT label, avg(c1) AS x, avg(c2) AS y FROM smooth JOIN lab USING (node_id, t) GROUP BY label), nl AS (SELECT a.label, b.label AS near, row_number() OVER (PARTITION BY a.label ORDER BY round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 9), b.label) AS rank FROM ce a JOIN ce b ON a.label <> b.label QUALIFY rank <= 1)"
 query("near_labels", P(_nl + " SELECT label::BIGINT AS label, near::BIGINT AS near, rank FROM nl"))(lambda s, d: report.near_labels(_label_centres(s, d), 1))
 query("transition_adjacency", P(_nl + ", mv AS (SELECT a, b, count(*) AS n FROM step WHERE a <> b GROUP BY ALL), bo AS (SELECT label AS a, near AS b FROM nl UNION SELECT near, label FROM nl) SELECT round(sum(CASE WHEN bo.a IS NOT NULL THEN n ELSE 0 END) / sum(n), 6) + 0.0 AS share_near, sum(n)::BIGINT AS n_moves FROM mv LEFT JOIN bo ON bo.a = mv.a AND bo.b = mv.b"))(lambda s, d: report.transition_adjacency(tb.month_labels(s, d), report.near_labels(_label_centres(s, d), 1)))
-query("lead_lag_by_type")(lambda s, d: report.lead_lag(graph.pair_top(tb.series(s, d), graph.lagged(2, 2), 1 << 20, True), tb.regions(s, d), 0.2))
+query("lead_lag_by_type")(lambda s, d: report.lead_lag(graph.pairs_over(tb.series(s, d), graph.lagged(2, 2), 0.2), tb.regions(s, d), 0.2))
 query("twins", P(", t30 AS (SELECT src, dst, la, lb, row_number() OVER (PARTITION BY src ORDER BY v, dst) AS r FROM pd QUALIFY r <= 29) SELECT src AS node_id, dst AS twin, row_number() OVER (PARTITION BY src ORDER BY r) AS rank FROM t30 WHERE la <> lb QUALIFY rank <= 5"))(lambda s, d: report.twins(tb.points(s, d), tb.points(s, d).select("node_id", F.col("label").alias("region"))))
 query("top_examples", P("SELECT region, node_id, round(balance, 6) + 0.0 AS balance, row_number() OVER (PARTITION BY region ORDER BY balance DESC, node_id) AS rank FROM regs QUALIFY rank <= 8"))(lambda s, d: report.top_examples(tb.regions(s, d).select("region", "node_id", "balance"), "region", "balance", 8))
 query("growth", P(_cnt + ", gm AS (SELECT modal, t, avg(total) AS v FROM smooth JOIN mode_ USING (node_id) GROUP BY ALL) SELECT modal::BIGINT AS modal, round(arg_max(v, t) / arg_min(v, t) - 1, 6) + 0.0 AS growth FROM gm GROUP BY modal"))(lambda s, d: report.growth(tb.smoothed(s, d).join(labels.modal(tb.month_labels(s, d)), "node_id"), "modal", "total"))
@@ -269,7 +269,7 @@ query("excluded_types", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT I
 # ---- clustering ----
 _p8 = lambda s, d: tb.points(s, d).select("node_id", "x")
 _c3 = [[0.0] * 64, [0.1] * 64, [-0.1] * 64]
-query("assign_centers", P("SELECT node_id, (CASE WHEN d0 <= least(d1, d2) THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END)::BIGINT AS label FROM (SELECT node_id, round(list_sum(list_transform(x, lambda v : v * v)), 9) AS d0, round(list_sum(list_transform(x, lambda v : (v - 0.1) * (v - 0.1))), 9) AS d1, round(list_sum(list_transform(x, lambda v : (v + 0.1) * (v + 0.1))), 9) AS d2 FROM pts)"))(lambda s, d: cluster.assign(_p8(s, d), s.createDataFrame(list(enumerate(_c3)), "label int, c array<double>")).select("node_id", "label"))
+query("assign_centers", P("SELECT node_id, (CASE WHEN d0 <= least(d1, d2) THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END)::BIGINT AS label FROM (SELECT node_id, round(list_sum(list_transform(x, lambda v : v * v)), 9) AS d0, round(list_sum(list_transform(x, lambda v : (v - 0.1) * (v - 0.1))), 9) AS d1, round(list_sum(list_transform(x, lambda v : (v + 0.1) * (v + 0.1))), 9) AS d2 FROM pts)"))(lambda s, d: cluster.assign(_p8(s, d), _c3).select("node_id", "label"))
 query("kmeans_fixed_init")(lambda s, d: cluster.lloyd(_p8(s, d), _c3, 5)[0].select("node_id", "label"))
 query("kmeans")(lambda s, d: cluster.kmeans(_p8(s, d), 10, restarts=2))
 query("agc")(lambda s, d: cluster.agc(_p8(s, d), tb.point_graph(s, d), 10))
@@ -283,15 +283,15 @@ def _month_points(s, d):
     return scaling.vectors(scaling.standardise(tb.smoothed(s, d), cols), cols)
 
 
-def _month_graphs(s, d, months: int = 6):
-    return graph.self_tuning(_month_points(s, d).where(F.col("t") < months), 5, 3)
+def _month_graphs(s, d):
+    return graph.self_tuning(_month_points(s, d), 5, 3)
 
 
-query("evolutionary_kmeans")(lambda s, d: cluster.evolutionary_kmeans(_month_points(s, d), 4, 0.5, 3))
-query("evolutionary_spectral")(lambda s, d: cluster.evolutionary_spectral(_month_graphs(s, d), 4, 0.7, 6))
-query("temporal_leiden")(lambda s, d: cluster.temporal_leiden(_month_graphs(s, d, 3), 1.0, 0.5))
+query("evolutionary_kmeans")(lambda s, d: cluster.evolutionary_kmeans(_month_points(s, d), 4, 0.5, tb.MONTHS))
+query("evolutionary_spectral")(lambda s, d: cluster.evolutionary_spectral(_month_graphs(s, d), 4, 0.7, tb.MONTHS))
+query("temporal_leiden")(lambda s, d: cluster.temporal_leiden(_month_graphs(s, d), 1.0, 0.5))
 query("match_labels")(lambda s, d: labels.match_in_time(tb.month_labels(s, d).withColumn("label", (F.col("label") + F.col("t")) % 4)))
-query("permutation_test")(lambda s, d: report.permutation_test(tb.point_graph(s, d), tb.points(s, d).select("node_id", "label"), 50))
+query("permutation_test")(lambda s, d: report.permutation_test(tb.point_graph(s, d), tb.points(s, d).select("node_id", "label"), 1000))
 query("stability_subsample")(lambda s, d: indices.agreement(cluster.lloyd(report.subsample(_p8(s, d), 0.8, 1), _c3, 3)[0].select("node_id", F.col("label").alias("a")).join(cluster.lloyd(_p8(s, d), _c3, 3)[0].select("node_id", F.col("label").alias("b")), "node_id")))
 query("layout_2d")(lambda s, d: cluster.layout_2d(_p8(s, d)))
 
@@ -307,8 +307,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["flagship_graph"] = flagship
 
 # ---- runs ----
-_small = Config(k_range=(3, 3), subsamples=2, knn=4)
-query("k_selection")(lambda s, d: pipeline.choose_k(s, d, _small))
-query("edge_rules")(lambda s, d: pipeline.compare_rules(s, d, _small, ("attr", "corr", "geo")))
-query("method_comparison")(lambda s, d: pipeline.compare_methods(s, d, _small, 2, ("kmeans", "ward", "spectral")))
-query("sensitivity")(lambda s, d: pipeline.sensitivity(s, d, _small, 2))
+query("k_selection")(lambda s, d: pipeline.choose_k(s, d, Config()))
+query("edge_rules")(lambda s, d: pipeline.compare_rules(s, d, Config()))
+query("rules_agreement")(lambda s, d: pipeline.rules_agreement(s, d, Config()))
+query("method_comparison")(lambda s, d: pipeline.compare_methods(s, d, Config()))
+query("sensitivity")(lambda s, d: pipeline.sensitivity(s, d, Config()))
