@@ -11,7 +11,9 @@ What is learnt from is a bounded sample; all documents are scored.
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,61 +22,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelnet.llm.common import as_text, batch_of, rows_of
-from panelnet.llm.ftrl import Ftrl, margin, sigmoid
+from panelnet.llm.ftrl import Ftrl
 from panelnet.llm.words import ASCII_SPACE, hash_words, mix64, separators
 
 BITS = 18
 #: Bounds of the sample: labelled and unlabelled documents, those with the least hash of their id.
 MOST_LABELLED, MOST_UNLABELLED = 6_000, 4_000
-ROUNDS, PER_ROUND, SURE = 4, 200, 0.95
+ROUNDS, POOL_SHARE, SURE = 4, 0.05, 0.95
 _WORD = separators(bytes(c for c in range(128) if not chr(c).isalnum()))
 _MARK = separators(ASCII_SPACE + bytes(c for c in range(128) if chr(c).isalnum()) + bytes(range(128, 256)))
 
 
-def _feature(kind: int, values) -> np.ndarray:
+def _feature(kind: int | np.ndarray, values) -> np.ndarray:
     v = np.asarray(values).astype(np.int64).view(np.uint64)
-    return (mix64(v + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - BITS)).astype(np.int32)
+    kinds = np.asarray(kind, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix64(v + kinds) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def _step(x: float) -> int:
-    """Halves of a power of two, signed towards 0 for x = 0."""
-    return -40 if x <= 0 else int(np.floor(2 * np.log2(x)))
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Halves of a power of two; -40 for 0 and below."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(x > 0, np.floor(2 * np.log2(x)), -40).astype(np.int64)
+
+
+def _rows(doc: np.ndarray, feature: np.ndarray, n: int) -> list[np.ndarray]:
+    """The sorted distinct features of each of n documents."""
+    key = np.unique((doc.astype(np.int64) << BITS) | feature)
+    return np.split((key & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key, np.arange(1, n) << BITS))
+
+
+def _counted(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """How many different hashes each of n documents has."""
+    order = np.lexsort((h, doc))
+    d, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    return np.bincount(d[new], minlength=n)
+
+
+@lru_cache(1)
+def _capital_table() -> np.ndarray:
+    return np.array([not 0xD800 <= i < 0xE000 and chr(i).isupper() for i in range(sys.maxunicode + 1)])
+
+
+def _capitals(texts: list[str], length: np.ndarray) -> np.ndarray:
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    total = np.concatenate([[0], np.cumsum(_capital_table()[codes])])
+    ends = np.cumsum(length)
+    return total[ends] - total[ends - length]
 
 
 def text_view(texts: list[str]) -> list[np.ndarray]:
     """Words, runs of marks, and steps of their ratios: marks, capitals, repetition, word and line length."""
-    raw = [t.encode() for t in texts]
+    n, raw = len(texts), [t.encode() for t in texts]
     *_, w, at_w = hash_words(raw, _WORD)
     *_, m, at_m = hash_words(raw, _MARK)
-    out = []
-    for i, t in enumerate(texts):
-        words, marks = w[at_w[i] : at_w[i + 1]], m[at_m[i] : at_m[i + 1]]
-        n, lines = max(1, len(words)), [x for x in t.split("\n") if x.strip()]
-        distinct, runs = np.unique(words), np.unique(marks)
-        ratios = (len(marks) / n, sum(c.isupper() for c in t) / max(1, len(t)), len(distinct) / n, len(t) / n, len(set(lines)) / max(1, len(lines)), len(runs) / max(1, len(marks)))
-        steps = [_feature(2 + k, [_step(x)])[0] for k, x in enumerate(ratios)]
-        out.append(np.unique(np.concatenate([_feature(0, distinct.view(np.int64)), _feature(1, runs.view(np.int64)), np.array(steps, np.int32)])))
-    return out
+    words, marks = np.diff(at_w), np.diff(at_m)
+    of_w, of_m = np.repeat(np.arange(n), words), np.repeat(np.arange(n), marks)
+    lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    length, count = (np.fromiter(map(len, x), np.int64, n) for x in (texts, lines))
+    apart = np.fromiter((len(set(x)) for x in lines), np.int64, n)
+    some = np.maximum(words, 1)
+    ratios = np.stack([marks / some, _capitals(texts, length) / np.maximum(length, 1), _counted(of_w, w, n) / some, length / some, apart / np.maximum(count, 1), _counted(of_m, m, n) / np.maximum(marks, 1)])
+    kinds = np.repeat(np.arange(2, 8), n)
+    docs = np.concatenate([of_w, of_m, np.tile(np.arange(n), 6)])
+    return _rows(docs, np.concatenate([_feature(0, w.view(np.int64)), _feature(1, m.view(np.int64)), _feature(kinds, _steps(ratios).ravel())]), n)
 
 
-def _code(value) -> int:
-    return int(hash_words([str(value).encode()], separators(b"\n"))[3].view(np.int64)[:1].sum())
+@lru_cache(1 << 14)
+def _code(value: str) -> int:
+    return int(hash_words([value.encode()], separators(b"\n"))[3].view(np.int64)[:1].sum())
 
 
 def meta_view(rows: list[tuple], columns: list[str]) -> list[np.ndarray]:
-    """Categories of metadata columns; numbers by steps; rows: values by column, then length and lines of the text."""
-    out = []
-    for *values, length, lines in rows:
-        f = [_feature(40 + k, [_step(v) if isinstance(v, (int, float)) else _code(v)])[0] for k, v in enumerate(values)]
-        f += [_feature(20, [_step(length)])[0], _feature(21, [_step(lines)])[0], _feature(22, [_step(length / max(1, lines))])[0]]
-        out.append(np.unique(np.array(f, np.int32)))
-    return out
+    """Categories of the page's metadata columns, numbers by steps; rows: values by column."""
+    n = len(rows)
+    values = [[_steps(np.array([v], float))[0] if isinstance(v, (int, float)) else _code(str(v)) for v in column] for column in zip(*rows)]
+    kinds = np.repeat(np.arange(40, 40 + len(values)), n)
+    return _rows(np.tile(np.arange(n), len(values)), _feature(kinds, np.array(values, np.int64).ravel()), n)
 
 
 def _views(batch_rows: list[tuple], columns: list[str]) -> tuple[list, list]:
-    texts = [r[-1] for r in batch_rows]
-    meta = [(*r[: len(columns)], len(t), t.count("\n") + 1 if t else 0) for r, t in zip(batch_rows, texts)]
-    return text_view(texts), meta_view(meta, columns)
+    """rows: metadata by column, then the text. Nothing of the text is in the metadata view."""
+    return text_view([r[-1] for r in batch_rows]), meta_view([r[:-1] for r in batch_rows], columns)
+
+
+def margins(rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """For each row of distinct features the sum of their weights and the bias."""
+    total = np.concatenate([[0.0], np.cumsum(weights[np.concatenate(rows)] if rows else [], dtype=np.float64)])
+    ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+    return total[ends] - total[ends - [len(r) for r in rows]] + float(weights[-1]) if rows else np.empty(0)
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -96,14 +133,22 @@ class Model:
     def __init__(self, text: np.ndarray, meta: np.ndarray, curves: list[np.ndarray], joint: np.ndarray):
         self.text, self.meta, self.curves, self.joint = text, meta, curves, joint
 
-    def scores(self, text_row: np.ndarray, meta_row: np.ndarray) -> tuple[float, float, float]:
-        """(combined, text, metadata) probabilities of good quality."""
-        x = [c[0] * margin(r, w) + c[1] for r, w, c in zip((text_row, meta_row), (self.text, self.meta), self.curves)]
-        return sigmoid(self.joint[0] * x[0] + self.joint[1] * x[1] + self.joint[2]), sigmoid(x[0]), sigmoid(x[1])
+    def scores(self, texts: list[np.ndarray], metas: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(combined, text, metadata) probabilities of good quality of rows of both views."""
+        x = [c[0] * margins(r, w) + c[1] for r, w, c in zip((texts, metas), (self.text, self.meta), self.curves)]
+        return _sigmoid(self.joint[0] * x[0] + self.joint[1] * x[1] + self.joint[2]), _sigmoid(x[0]), _sigmoid(x[1])
+
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
-def cotrain(views: list[tuple[np.ndarray, np.ndarray]], labels: list[int | None], rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
-    """views: (text features, metadata features); labels: 0, 1 or None. Every fifth labelled row only calibrates."""
+
+def cotrain(views: list[tuple[np.ndarray, np.ndarray]], labels: list[int | None], rounds: int = ROUNDS, pool_share: float = POOL_SHARE) -> Model:
+    """views: (text features, metadata features); labels: 0, 1 or None. Every fifth labelled row only calibrates.
+
+    In a round a view labels at most pool_share of the unlabelled rows, the surest first, ties by their order; the
+    view that goes first may take a row that the other is sure of, too. With labels of one kind every score is 0.5.
+    """
     known = [i for i, y in enumerate(labels) if y is not None]
     fold, learnt = known[::5], [i for k, i in enumerate(known) if k % 5]
     kinds = {labels[i] for i in learnt}
@@ -112,20 +157,24 @@ def cotrain(views: list[tuple[np.ndarray, np.ndarray]], labels: list[int | None]
         return Model(flat, flat, [np.array([1.0, 0.0])] * 2, np.array([0.0, 0.0, 0.0]))
     share = sum(labels[i] for i in learnt) / len(learnt)
     sets = [{i: labels[i] for i in learnt} for _ in range(2)]
-    pool = {i for i, y in enumerate(labels) if y is None}
+    pool = np.array([i for i, y in enumerate(labels) if y is None], int)
+    each = max(1, round(len(pool) * pool_share))
     weights = [flat, flat]
     for r in range(rounds + 1):
         weights = [Ftrl(BITS, l1=0.5).fit([views[i][v] for i in s], list(s.values())).weights() for v, s in enumerate(sets)]
-        if r == rounds or not pool:
+        if r == rounds or not len(pool):
             break
-        ps = [{i: sigmoid(margin(views[i][v], weights[v])) for i in pool} for v in range(2)]
+        taught = set()
         for v in range(2):
-            good = sorted((i for i, p in ps[v].items() if p >= SURE and i in pool), key=lambda i: (-ps[v][i], i))[: max(1, round(per_round * share))]
-            bad = sorted((i for i, p in ps[v].items() if p <= 1 - SURE and i in pool), key=lambda i: (ps[v][i], i))[: max(1, round(per_round * (1 - share)))]
-            sets[1 - v].update({i: 1 for i in good} | {i: 0 for i in bad})
-            pool -= {*good, *bad}
+            p = _sigmoid(margins([views[i][v] for i in pool], weights[v]))
+            for y, sure, most in ((1, p, max(1, round(each * share))), (0, 1 - p, max(1, round(each * (1 - share))))):
+                order = np.lexsort((pool, -sure))
+                got = [int(pool[k]) for k in order[sure[order] >= SURE] if int(pool[k]) not in taught][:most]
+                sets[1 - v].update(dict.fromkeys(got, y))
+                taught.update(got)
+        pool = np.array([i for i in pool if int(i) not in taught], int)
     y = np.array([labels[i] for i in fold], float)
-    m = np.array([[margin(views[i][v], weights[v]) for v in range(2)] for i in fold])
+    m = np.column_stack([margins([views[i][v] for i in fold], weights[v]) for v in range(2)])
     curves = [_platt(m[:, [v]], y) for v in range(2)]
     return Model(*weights, curves, _platt(np.column_stack([curves[v][0] * m[:, v] + curves[v][1] for v in range(2)]), y))
 
@@ -171,7 +220,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text, source, lang, ...) -> (doc_id, score, text_score, meta_score, predicted), a row for a row.
 
     Scores are probabilities of good quality. A null text counts as empty, null metadata as a value of its own.
-    Null and repeated ids and repeated rows are scored row by row; columns beyond the metadata are ignored; an
+    Null and repeated ids and repeated rows are scored row by row, equal rows alike; columns beyond the metadata are ignored; an
     empty table gives an empty result. Texts are read whole.
     """
     columns = metadata(docs)
@@ -181,8 +230,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part in rows_of(batches, "doc_id", *columns, "text"):
-            got = [m.scores(a, b) for a, b in zip(*_views([p[1:] for p in part], columns))]
-            yield batch_of(schema, [[p[0] for p in part], *zip(*got), [int(s[0] >= 0.5) for s in got]])
+            got = m.scores(*_views([p[1:] for p in part], columns))
+            yield batch_of(schema, [[p[0] for p in part], *got, (got[0] >= 0.5).astype(np.int32)])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, as_text().alias("text"))
     return docs.mapInArrow(run, "doc_id long, score double, text_score double, meta_score double, predicted int")

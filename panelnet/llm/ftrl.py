@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -19,19 +21,29 @@ class Ftrl:
         w = -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
         return np.where(np.abs(z) <= l1, 0.0, w)
 
-    def learn(self, row: np.ndarray, label: float, weight: float = 1.0) -> None:
-        at = np.append(row, self.bias)
-        w = self._weights(at)
-        g = weight * (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label)
-        n = self.n[at]
-        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
-        self.n[at] = n + g * g
+    def learn(self, row: np.ndarray, label: float) -> None:
+        self._learn(np.append(row, self.bias), np.append(np.full(len(row), self.l1), 0.0), label)
+
+    def _learn(self, at: np.ndarray, l1: np.ndarray, label: float) -> None:
+        """A row's features share one gradient."""
+        z, n = self.z[at], self.n[at]
+        root = np.sqrt(n)
+        w = np.maximum(np.abs(z) - l1, 0.0)
+        w *= np.sign(z) * -self.alpha / (root + (self.beta + self.alpha * self.l2))
+        g = 1 / (1 + math.exp(-min(max(float(w.sum()), -35.0), 35.0))) - label
+        n += g * g
+        w *= (np.sqrt(n) - root) / self.alpha
+        self.z[at] = z + g - w
+        self.n[at] = n
 
     def fit(self, rows: list[np.ndarray], labels: list[float], epochs: int = 2, seed: int = 7) -> Ftrl:
+        """Passes over the rows in seeded orders, one row after another."""
         rng = np.random.default_rng(seed)
+        every = [np.append(r, self.bias) for r in rows]
+        l1 = [np.append(np.full(len(r), self.l1), 0.0) for r in rows]
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
-                self.learn(rows[i], labels[i])
+                self._learn(every[i], l1[i], labels[i])
         return self
 
     def weights(self) -> np.ndarray:

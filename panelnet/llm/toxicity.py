@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelnet.llm.common import as_text, batch_of, release, rows_of
+from panelnet.llm.common import as_text, batch_of, release, rows_of, slices
 from panelnet.llm.ftrl import Ftrl, margin, sigmoid
 from panelnet.llm.words import hash_words, mix64, separators
 
@@ -24,7 +24,7 @@ _SEP = separators(bytes(c for c in range(128) if not chr(c).isalnum()))
 
 def features(texts: list[str]) -> list[np.ndarray]:
     """For each text the numbers of its words, adjacent pairs and pairs one word apart, with repeats."""
-    *_, h, first = hash_words([t.encode().lower() for t in texts], _SEP)
+    *_, h, first = hash_words([t.lower().encode() for t in texts], _SEP)
     out = []
     for w in np.split(h, first[1:-1]):
         pair = mix64(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])
@@ -45,12 +45,13 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, [[p[0] for p in part], [p[1] for p in part], rows])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, least_rows: int = LEAST_ROWS) -> np.ndarray:
     """Weights from labelled rows of docs that are not held out: of those, the `most` with the least hash of doc_id.
 
     labels(doc_id, toxic); rows with a null id or label, and ids that docs lacks, count for nothing; an id with
     several labels has the largest. Without labels of both kinds all weights are 0 and every score is 0.5. The
-    sample is bounded, so is the task that learns: `most` rows of features; the driver gets the weights that are not 0.
+    features of fewer than least_rows different sample rows have no weight: those of a handful of rows tell little of
+    others, whatever the table's size. The sample is bounded, so is the task that learns: `most` rows of features; the driver gets the weights that are not 0.
     """
     labelled = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
@@ -58,30 +59,33 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> np.n
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")).join(F.broadcast(sample), "doc_id")
     rows = texts.mapInArrow(_featured, "doc_id long, label int, row binary")
     out = np.zeros((1 << BITS) + 1, np.float32)
-    for r in rows.repartition(1).mapInArrow(_learnt, "at array<int>, weights array<float>").collect():
+    for r in rows.repartition(1).mapInArrow(_learner(least_rows), "at array<int>, weights array<float>").collect():
         out[r["at"]] = r["weights"]
     return out
 
 
-def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weights that are not 0, learnt in one task from the bounded sample in the order of a hash of its rows."""
-    votes: dict[bytes, list[int]] = {}
-    for batch in batches:
-        for row, label in zip(batch.column("row").to_pylist(), batch.column("label").to_pylist()):
-            votes.setdefault(row, []).append(label)
-    order = sorted(votes, key=lambda r: (xxhash.xxh3_64_intdigest(r), r))
-    marks = [float(2 * sum(votes[r]) >= len(votes[r])) for r in order]
-    if len(set(marks)) < 2:
-        return
-    df = np.zeros(1 << BITS, np.int32)
-    for r in order:
-        df[np.frombuffer(r, np.int32)] += 1
-    rows = [(x := np.frombuffer(r, np.int32))[df[x] >= LEAST_ROWS] for r in order]
-    at, weights = _packed(Ftrl(BITS, alpha=2.0, l1=5.0).fit(rows, marks, epochs=3).weights())
-    del votes, order, rows
-    release()
-    schema = pa.schema([("at", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))])
-    yield batch_of(schema, [[at], [weights]])
+def _learner(least_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The weights that are not 0, learnt in one task from the bounded sample in the order of a hash of its rows."""
+        votes: dict[bytes, list[int]] = {}
+        for batch in batches:
+            for row, label in zip(batch.column("row").to_pylist(), batch.column("label").to_pylist()):
+                votes.setdefault(row, []).append(label)
+        order = sorted(votes, key=lambda r: (xxhash.xxh3_64_intdigest(r), r))
+        marks = [float(2 * sum(votes[r]) >= len(votes[r])) for r in order]
+        if len(set(marks)) < 2:
+            return
+        df = np.zeros(1 << BITS, np.int32)
+        for r in order:
+            df[np.frombuffer(r, np.int32)] += 1
+        rows = [(x := np.frombuffer(r, np.int32))[df[x] >= least_rows] for r in order]
+        at, weights = _packed(Ftrl(BITS, alpha=2.0, l1=5.0).fit(rows, marks, epochs=3).weights())
+        del votes, order, rows
+        release()
+        schema = pa.schema([("at", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))])
+        yield batch_of(schema, [[at], [weights]])
+
+    return run
 
 
 def _packed(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,15 +119,19 @@ def scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def not_toxic(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns; all rows where nothing was learnt."""
+    """The rows of docs that score below the threshold, with all their columns; all rows where nothing was learnt.
+
+    A null or empty text has the score of the bias alone. Rows without an id or with a repeated one, and repeated rows,
+    are kept or not each by its text; an empty table gives an empty result. Long texts are taken a few at a time.
+    """
     if not weights.any():
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(_packed(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _opened(shared.value)
-        for batch in batches:
-            keep = [sigmoid(margin(features([t or ""])[0], w)) < threshold for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text"):
+            keep = [sigmoid(margin(r, w)) < threshold for r in features([t or "" for t in batch.column("text").to_pylist()])]
             yield batch.filter(pa.array(keep, pa.bool_()))
         release()
 

@@ -86,7 +86,7 @@ def test_cotraining_views_teach_each_other():
         views.append((np.unique(np.append(r.integers(100, 999, 5), [y])).astype(np.int32), np.array([50 + y], np.int32)))
         labels.append(y if i < 40 else None)
     model = cotraining.cotrain(views, labels)
-    s = [model.scores(*v)[0] for v in views]
+    s = model.scores(*map(list, zip(*views)))[0]
     assert np.mean([(p >= 0.5) == (i % 2) for i, p in enumerate(s)]) > 0.98
 
 
