@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelnet.llm import near_dup, packing, quality_rules, surrogates, toxicity
-from panelnet.llm.common import new_path, table
+from panelnet.llm.common import new_path, remove, table
 from panelnet.llm.queries import SURROGATE_KEY
 
 
@@ -39,11 +39,20 @@ STAGES = [("quality", quality), ("toxicity", civil), ("near_dedup", distinct), (
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what a stage returns is written as Parquet and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
+    """All stages over the documents of sf_dir; what a stage returns is written as Parquet and read by the next.
+
+    Null texts count as empty, rows without an id or with a repeated one go through each stage as documents of their own,
+    other columns of documents pass through to the last stage, an empty table gives no piece. Once the next stage is
+    written, nothing reads a stage's table again and it is deleted, unless keep says otherwise; the last one stays for
+    the result to be read from.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before and not keep:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
