@@ -22,28 +22,26 @@ class Ftrl:
         return np.where(np.abs(z) <= l1, 0.0, w)
 
     def learn(self, row: np.ndarray, label: float) -> None:
-        self._learn(np.append(row, self.bias), np.append(np.full(len(row), self.l1), 0.0), label)
-
-    def _learn(self, at: np.ndarray, l1: np.ndarray, label: float) -> None:
-        """A row's features share one gradient."""
-        z, n = self.z[at], self.n[at]
-        root = np.sqrt(n)
-        w = np.maximum(np.abs(z) - l1, 0.0)
+        """The features of a row and the bias, which no L1 holds back, share one gradient."""
+        b, z, n = self.bias, self.z[row], self.n[row]
+        root, bias_root = np.sqrt(n), math.sqrt(self.n[b])
+        w = np.maximum(np.abs(z) - self.l1, 0.0)
         w *= np.sign(z) * -self.alpha / (root + (self.beta + self.alpha * self.l2))
-        g = 1 / (1 + math.exp(-min(max(float(w.sum()), -35.0), 35.0))) - label
+        bias = -self.z[b] * self.alpha / (bias_root + self.beta + self.alpha * self.l2)
+        g = 1 / (1 + math.exp(-min(max(float(w.sum() + bias), -35.0), 35.0))) - label
         n += g * g
         w *= (np.sqrt(n) - root) / self.alpha
-        self.z[at] = z + g - w
-        self.n[at] = n
+        self.z[row] = z + g - w
+        self.n[row] = n
+        self.n[b] += g * g
+        self.z[b] += g - (math.sqrt(self.n[b]) - bias_root) / self.alpha * bias
 
     def fit(self, rows: list[np.ndarray], labels: list[float], epochs: int = 2, seed: int = 7) -> Ftrl:
-        """Passes over the rows in seeded orders, one row after another."""
+        """Passes over the rows in seeded orders, one row after another; the rows are read where they are."""
         rng = np.random.default_rng(seed)
-        every = [np.append(r, self.bias) for r in rows]
-        l1 = [np.append(np.full(len(r), self.l1), 0.0) for r in rows]
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
-                self._learn(every[i], l1[i], labels[i])
+                self.learn(rows[i], labels[i])
         return self
 
     def weights(self) -> np.ndarray:

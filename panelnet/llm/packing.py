@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelnet.llm.common import as_text, batch_of, discard, release, rows_of, slices, stored
-from panelnet.llm.word_tokens import id_type, vocabulary_path, word_ids
+from panelnet.llm.word_tokens import forget, id_type, vocabulary_path, word_ids
 from panelnet.llm.words import hash_words, mix64, separators
 
 WINDOW = 4096
@@ -38,8 +38,8 @@ SHARD_BYTES, SHARD_DOCS, PART_BYTES = 6 << 20, 2048, 48 << 20
 #: Documents of a shard that are compared at a time: their scores are a matrix in memory.
 MOST_DOCS = 3072
 BITS, SLICE_BITS = 22, 12
-#: The tasks that number words sort and shuffle little, so their workers have room for a large table of words.
-TABLE_BITS = 22
+#: Slots of a worker's table of words; a full one is begun again.
+TABLE_BITS = 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 _SEP = separators(b" \n")
@@ -236,20 +236,15 @@ def scores(stats: Statistics, terms: list[np.ndarray], counts: list[np.ndarray],
     rare = np.repeat((df > 1) & (df <= many), df)
     left = np.repeat(start + df, df)[rare] - np.flatnonzero(rare) - 1
     row, weight = row[rare], weight[rare]
-    pairs, values, held = [], [], 0
+    weight = weight.astype(np.float32)
     flat = out.reshape(-1)
-    here = np.flatnonzero(left >= 1)
-    step = 1
-    while len(here):
-        a, b = here, here + step
-        pairs += [row[a] * n + row[b], row[b] * n + row[a]]
-        values += [weight[b], weight[a]]
-        held += 2 * len(a)
+    here, step = np.flatnonzero(left >= 1), 1
+    while len(here):  # postings that are `step` places apart in one list
+        a, b = row[here], row[here + step]
+        np.add.at(flat, a * n + b, weight[here + step])
+        np.add.at(flat, b * n + a, weight[here])
         step += 1
         here = here[left[here] >= step]
-        if held > max(1 << 20, n * n // 2) or not len(here):
-            flat += np.bincount(np.concatenate(pairs), np.concatenate(values), n * n).astype(np.float32)
-            pairs, values, held = [], [], 0
     np.fill_diagonal(out, -1)
     return out
 
@@ -339,6 +334,7 @@ class Packer:
 
 def _packed(shared, width: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         stats, at, packer, held, size = shared.value, None, None, [], 0
 
         def full() -> bool:

@@ -16,6 +16,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 import public_tokenizers
 
+from panelnet.llm.common import release
 from panelnet.llm.words import Ragged, WordTable, hash_words, separators
 
 if TYPE_CHECKING:
@@ -146,6 +147,13 @@ def word_ids(path: str, bits: int = 21) -> WordIds:
     return _held[path, bits]
 
 
+def forget() -> None:
+    """Free this worker's tables: for tasks that number no words and need the room."""
+    if _held:
+        _held.clear()
+        release()
+
+
 @lru_cache(8)
 def id_type(path: str, end: int) -> str:
     """Unsigned integers of two bytes where the vocabulary and the end id allow, else of four."""

@@ -234,3 +234,21 @@ def test_pipeline_against_plain_stages(spark, texts):
     assert all(r.n_chars == len(r.text) for r in seen["pii"].collect())
     a = corpus_pipeline.run(spark, SMALL)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, seen["packing"].collect()))
+
+
+def test_ftrl_against_the_plain_update():
+    r = np.random.default_rng(0)
+    rows = [np.unique(r.integers(0, 200, 20)) for _ in range(300)]
+    labels = [float(x[0] % 2) for x in rows]
+    got = Ftrl(8, alpha=0.5, l1=0.3).fit(rows, labels)
+    z, n, rng = np.zeros(257), np.zeros(257), np.random.default_rng(7)
+    for _ in range(2):
+        for i in rng.permutation(300):
+            at = [*rows[i].tolist(), 256]
+            l1 = [0.3] * (len(at) - 1) + [0.0]
+            w = [0.0 if abs(z[k]) <= b else -(z[k] - np.sign(z[k]) * b) / ((1 + np.sqrt(n[k])) / 0.5 + 1) for k, b in zip(at, l1)]
+            g = 1 / (1 + np.exp(-sum(w))) - labels[i]
+            for k, v in zip(at, w):
+                z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / 0.5 * v
+                n[k] += g * g
+    assert np.allclose(got.z, z) and np.allclose(got.n, n)
