@@ -31,7 +31,7 @@ from panelnet.operators.settle import even_join
 BANDS, ROWS = 32, 6
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
 #: Members of a hub that one task holds against it.
-STAR_SETS = 4096
+STAR_SETS = 256
 _SEP = separators(ASCII_SPACE)
 
 
