@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,13 +145,25 @@ def permutation_test(edges: DataFrame, labels: DataFrame, n: int = 1000, seed: i
     placed = perms.select("p", "node_id", "label", F.row_number().over(w.orderBy(h(0), "node_id")).alias("i"), F.row_number().over(w.orderBy(h(1000), "node_id")).alias("j"))
     placed = settled(placed)
     given = placed.select("p", "i", "node_id").join(placed.select("p", F.col("j").alias("i"), "label"), ["p", "i"])
-    lists = given.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "label"))), lambda x: x["label"]).alias("ls"))
-    lists = settled(lists.join(nodes, "node_id"))
-    a, b = (lists.select(F.col("node_id").alias(e), F.col("ls").alias("ls" + e), F.col("label").alias("l" + e)) for e in ("src", "dst"))
-    same = F.zip_with("lssrc", "lsdst", lambda x, y: (x == y).cast("int"))
-    hit = edges.select("src", "dst").join(a, "src").join(b, "dst").select((F.col("lsrc") == F.col("ldst")).cast("int").alias("o"), F.posexplode(same).alias("p", "s"))
-    share = hit.groupBy("p").agg(F.avg("s").alias("s"), F.avg("o").alias("observed"))
-    return share.groupBy("observed").agg(
+    lists = given.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "label"))), lambda x: x["label"].cast("double")).alias("ls"))
+    lists = settled(lists.join(nodes.hint("merge"), "node_id"))
+    # the size of a list is estimated by one element: without the hints n of them for each node are broadcast
+    a, b = (lists.select(F.col("node_id").alias(e), F.concat(F.array(F.col("label").cast("double")), "ls").alias("ls" + e)).hint("merge") for e in ("src", "dst"))
+    ends = edges.select("src", "dst").join(a, "src").join(b, "dst").select("lssrc", "lsdst")
+
+    def hits(batches):
+        """Edges within a label, and edges with two labels, of the labels themselves and of every permutation."""
+        same, known = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for batch in batches:
+            x, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(-1, n + 1) for c in batch.columns)
+            for i in range(0, len(x), 256):
+                same += (x[i : i + 256] == y[i : i + 256]).sum(axis=0)
+                known += ((x[i : i + 256] == x[i : i + 256]) & (y[i : i + 256] == y[i : i + 256])).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(same), pa.array(known)], names=["p", "s", "n"])
+
+    share = settled(ends.mapInArrow(hits, "p long, s long, n long").groupBy("p").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("s")))
+    own = share.where("p = 0").select(F.col("s").alias("observed"))
+    return share.where("p > 0").crossJoin(F.broadcast(own)).where("s is not null").groupBy("observed").agg(
         F.avg("s").alias("null_mean"), F.try_divide(F.first("observed") - F.avg("s"), F.nullif(F.stddev_pop("s"), F.lit(0.0))).alias("z"),
         ((F.sum((F.col("s") >= F.col("observed")).cast("int")) + 1) / (n + 1)).alias("p"),
     )
