@@ -55,6 +55,14 @@ def test_pieces(spark, monkeypatch, size):
         assert n == 4096 or n & (n - 1) == 0
 
 
+def test_a_task_holds_a_small_part_of_the_shards(spark):
+    """Partitions of 48 MB took an executor beyond its memory, as a task holds its partition several times over."""
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet")
+    stats = packing.statistics(docs.select("text"))
+    parts = packing.pack(docs).rdd.getNumPartitions()
+    assert stats.shards() > 3 and stats.shards() / parts * packing.SHARD_BYTES <= (16 << 20) + packing.SHARD_BYTES
+
+
 def test_result_does_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     a, b = (sorted(map(tuple, packing.pack(d).collect())) for d in (docs, docs.repartition(9)))
