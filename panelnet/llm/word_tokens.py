@@ -52,6 +52,7 @@ class WordIds:
         self.plain, self.ends = self._plain(path)
         self.table = WordTable(bits)
         self.rows = Ragged(np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
+        release()  # what reading the vocabulary took besides it
 
     def clear(self) -> None:
         self.table.clear()

@@ -10,6 +10,8 @@ import xxhash
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes at a time: their arrays stay in a core's cache.
 CHUNK = 1 << 16
+#: Slots that a table of words begins with.
+FIRST_BITS = 18
 _LONG = 64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(_LONG)], np.uint64)
 
@@ -76,28 +78,37 @@ def hash_words(texts: list[bytes], sep: np.ndarray) -> tuple[bytes, np.ndarray,
 
 
 class WordTable:
-    """Hash -> number of a word, open addressing over arrays; clear() when full() says so."""
+    """Hash -> number of a word, open addressing over arrays that grow up to 1 << bits slots; clear() when full() says so."""
 
     def __init__(self, bits: int = 21, fill: float = 0.55):
-        self.bits, self.most = bits, int(fill * (1 << bits))
+        self.fill, self.most = fill, int(fill * (1 << bits))
+        self.first = min(bits, FIRST_BITS)
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.values = np.full(1 << self.bits, -1, np.int32)
         self.n = 0
+        self._empty(self.first)
+
+    def _empty(self, bits: int) -> None:
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.full(1 << bits, -1, np.int32)
 
     def room(self) -> int:
         return self.most - self.n
 
     def reserve(self, more: int) -> None:
-        """Grow the table, if need be, so that it takes `more` words: one very long text may need that."""
+        """Let the table grow, if need be, so that it takes `more` words: one very long text may need that."""
         while more > self.room():
-            keys, values = self.keys[self.values >= 0], self.values[self.values >= 0]
-            order, n = np.argsort(values), self.n
-            self.__init__(self.bits + 1, self.most / (1 << self.bits))
-            self.add(keys[order])
-            assert self.n == n
+            self.most *= 2
+
+    def _grow(self) -> None:
+        """Twice the slots; words keep their numbers and go over in small parts."""
+        held = self.values >= 0
+        keys, values = self.keys[held], self.values[held]
+        self._empty(self.bits + 1)
+        for i in range(0, len(keys), 1 << 16):
+            self._place(keys[i : i + (1 << 16)], values[i : i + (1 << 16)])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The words' numbers, -1 where a word is new."""
@@ -115,8 +126,15 @@ class WordTable:
 
     def add(self, h: np.ndarray) -> np.ndarray:
         """Numbers for distinct new hashes, in their order."""
-        mask = (1 << self.bits) - 1
+        while self.n + len(h) > self.fill * (1 << self.bits):
+            self._grow()
         number = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self._place(h, number)
+        self.n += len(h)
+        return number
+
+    def _place(self, h: np.ndarray, number: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
@@ -128,8 +146,6 @@ class WordTable:
             done[won] = True
             left = left[~done[left]]
             slot[left] = (slot[left] + 1) & mask
-        self.n += len(h)
-        return number
 
 
 class Ragged:

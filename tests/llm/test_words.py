@@ -103,3 +103,14 @@ def test_frames_notice_damage():
     assert (width, ids, offsets.tolist(), counts.tolist()) == (2, [3, None, -5], [0, 30, 70], [5, 0, 9])
     with pytest.raises(ValueError):
         token_records.read_index(out.getvalue()[:-1] + b"x")
+
+
+def test_table_has_slots_for_the_words_it_holds():
+    table, r = words.WordTable(bits=22), np.random.default_rng(2)
+    assert table.keys.nbytes + table.values.nbytes < 4 << 20  # was 48 MB for the first word
+    h = np.unique(r.integers(0, 1 << 63, 400_000, dtype=np.uint64) * np.uint64(2))
+    number = np.concatenate([table.add(part) for part in np.array_split(h, 7)])
+    assert number.tolist() == list(range(len(h))) and (table.find(h) == number).all() and (table.find(h + np.uint64(1)) == -1).all()
+    assert table.bits == 20 and table.room() == int(0.55 * (1 << 22)) - len(h)
+    table.clear()
+    assert table.bits == 18 and (table.find(h[:100]) == -1).all()
