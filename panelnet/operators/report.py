@@ -132,33 +132,71 @@ def labels_wide(labels: DataFrame, months: int) -> DataFrame:
     return wide.withColumnsRenamed({str(i): f"m{i}" for i in range(months)})
 
 
+#: Rounds of a permutation; each adds a random function of one part of a number to the other part.
+ROUNDS = 8
+
+
+def permuted(i: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
+    """Where numbers 0 .. n - 1 go under the permutation that a key draws; work and memory are those of i and of the root of n.
+
+    A number is a place in a table of about sqrt(n) rows and columns that holds at least n; what falls outside goes on until it is inside.
+    """
+    rows = int(np.ceil(np.sqrt(n)))
+    sides = rows, -(-n // rows)
+    rng = np.random.default_rng(key)
+    tables = [rng.integers(0, sides[r % 2], sides[1 - r % 2]) for r in range(ROUNDS)]
+    out, left = np.array(i, np.int64), np.arange(len(i))
+    while len(left):
+        part = list(np.divmod(out[left], sides[1]))
+        for r, table in enumerate(tables):
+            moved = part[r % 2] + table[part[1 - r % 2]]
+            part[r % 2] = np.where(moved < sides[r % 2], moved, moved - sides[r % 2])
+        out[left] = part[0] * sides[1] + part[1]
+        left = left[out[left] >= n]
+    return out
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """nodes(node_id, ..) with their numbers i from 0 by node_id, without one task for all of them."""
+    low = (1 << 33) - 1
+    part = settled(nodes.repartitionByRange("node_id").sortWithinPartitions("node_id").withColumn("_m", F.monotonically_increasing_id()))
+    sizes = part.groupBy(F.shiftright("_m", 33).cast("int").alias("_p")).agg(F.count("*").alias("n")).collect()  # a row a task
+    before, first = 0, []
+    for r in sorted(sizes):
+        first.append((r[0], before))
+        before += r[1]
+    start = F.element_at(F.create_map(*[F.lit(v) for row in first for v in row]), F.shiftright("_m", 33).cast("int")) if first else F.lit(0)
+    return part.withColumn("i", (start + F.col("_m").bitwiseAND(F.lit(low))).cast("long")).drop("_m")
+
+
 def permutation_test(edges: DataFrame, labels: DataFrame, n: int = 1000, seed: int = 1) -> DataFrame:
     """One row (observed, null_mean, z, p) of the share of edges within a label against n permutations of the labels.
 
-    A permutation pairs the nodes in the order of one hash of (permutation, node) with the labels in that of another.
-    Both orders are numbered within a permutation; no order runs over all nodes of all permutations.
+    Nodes are numbered by id, labels by the nodes that have them; a permutation gives a node the label of the number that its own
+    number goes to. That is worked out for the ends of an edge alone: no table of nodes and permutations is made.
     """
-    nodes = settled(labels.select("node_id", "label"))
-    perms = nodes.select("node_id", "label", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("p"))
-    h = lambda k: F.xxhash64(F.lit(seed + k), "p", "node_id")
-    w = W.partitionBy("p")
-    placed = perms.select("p", "node_id", "label", F.row_number().over(w.orderBy(h(0), "node_id")).alias("i"), F.row_number().over(w.orderBy(h(1000), "node_id")).alias("j"))
-    placed = settled(placed)
-    given = placed.select("p", "i", "node_id").join(placed.select("p", F.col("j").alias("i"), "label"), ["p", "i"])
-    lists = given.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "label"))), lambda x: x["label"].cast("double")).alias("ls"))
-    lists = settled(lists.join(nodes.hint("merge"), "node_id"))
-    # the size of a list is estimated by one element: without the hints n of them for each node are broadcast
-    a, b = (lists.select(F.col("node_id").alias(e), F.concat(F.array(F.col("label").cast("double")), "ls").alias("ls" + e)).hint("merge") for e in ("src", "dst"))
-    ends = edges.select("src", "dst").join(a, "src").join(b, "dst").select("lssrc", "lsdst")
+    nodes = _numbered(labels.select("node_id", F.col("label").cast("double").alias("label")))
+    counts = nodes.groupBy("label").agg(F.count("*").alias("n")).collect()  # a row a label
+    known_counts = sorted((r[0], r[1]) for r in counts if r[0] is not None and r[0] == r[0])
+    total, bounds = sum(r[1] for r in counts), np.cumsum([c for _, c in known_counts])
+    a, b = (nodes.select(F.col("node_id").alias(e), F.col("i").alias("i" + e), F.col("label").alias("l" + e)).hint("merge") for e in ("src", "dst"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = edges.select("src", "dst").join(a, "src").join(b, "dst").select("isrc", "idst", "lsrc", "ldst").repartition(parts)  # few bytes and long to work on
 
     def hits(batches):
-        """Edges within a label, and edges with two labels, of the labels themselves and of every permutation."""
+        """Edges within a label, and edges with two labels, of the labels themselves (p = 0) and of every permutation."""
         same, known = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        for batch in batches:
-            x, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(-1, n + 1) for c in batch.columns)
-            for i in range(0, len(x), 256):
-                same += (x[i : i + 256] == y[i : i + 256]).sum(axis=0)
-                known += ((x[i : i + 256] == x[i : i + 256]) & (y[i : i + 256] == y[i : i + 256])).sum(axis=0)
+        for batch in (b for b in batches if b.num_rows):
+            i, j, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            same[0] += np.count_nonzero(x == y)
+            known[0] += np.count_nonzero((x == x) & (y == y))
+            ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            for p in range(1, n + 1):
+                label = np.searchsorted(bounds, permuted(ids, total, (seed, p)), side="right")  # len(bounds): no label
+                x, y = np.split(label[at], 2)
+                some = (x < len(bounds)) & (y < len(bounds))
+                same[p] += np.count_nonzero((x == y) & some)
+                known[p] += np.count_nonzero(some)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), pa.array(same), pa.array(known)], names=["p", "s", "n"])
 
     share = settled(ends.mapInArrow(hits, "p long, s long, n long").groupBy("p").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("s")))
